@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from . import unify
+from . import encode, unify
 
 
 def layout_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,8 +37,14 @@ def p5_unified_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return unify.with_unified(table(spark, folder, "evidence_units").select("evidence_id", "content"), "content").select("evidence_id", "unified").distinct()
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode.with_token_ids(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
 def queries() -> dict:
     return {
+        "p7_ids": p7_ids,
         "p5_found": p5_found,
         "p5_unified_evidence": p5_unified_evidence,
     }
