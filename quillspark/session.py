@@ -57,3 +57,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/quill_{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session's cluster, once."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quillspark-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = shutil.copytree(home, f"{folder}/src/quillspark", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/quillspark", "zip", os.path.dirname(copy)))
+    _SHIPPED.add(context.applicationId)
