@@ -31,6 +31,7 @@ from ..session import materialize
 FOLDER = os.environ.get("QUILL_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the published pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPACE = regex.compile(r"\s")
 SURE = regex.compile(r"\S(?=\s)")
 #: Code points by which the pattern looks ahead of a boundary at most.
 AHEAD = 4
@@ -97,9 +98,10 @@ def _chunks(long: DataFrame, text: str, chunk: int, overlap: int) -> DataFrame:
             for k, final, part in zip(batch.column("k").to_pylist(), batch.column("final").to_pylist(), batch.column("part").to_pylist()):
                 heads.append([] if k == 0 else [k * chunk + b for b in boundaries(part, 0, overlap)])
                 # A pre-token never goes from ink to white space: from the first such place on,
-                # the boundaries hold whatever came before this chunk.
+                # the boundaries hold whatever came before this chunk. A piece may not end in white
+                # space, as the split of a run of it depends on what follows.
                 sure = 0 if k == 0 else getattr(SURE.search(part), "end", lambda: len(part))()
-                tails.append([] if final else [k * chunk + b for b in boundaries(part, max(chunk, sure), len(part) - AHEAD)])
+                tails.append([] if final else [k * chunk + b for b in boundaries(part, max(chunk, sure), len(part) - AHEAD) if not SPACE.match(part, b - 1)])
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, kind), pa.array(tails, kind)], names=[*batch.schema.names, "heads", "tails"])
 
