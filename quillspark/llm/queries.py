@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.units import padded
 from ..session import materialize
 from ..sources.tables import table
-from . import encode, unify
+from . import encode, split, unify
 
 
 def layout_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +22,29 @@ def layout_key(prefix: str = "l:"):
     return F.concat(F.lit(prefix), "id", F.lit(":p"), F.col("page").cast("string"), F.lit(":e"), F.col("element").cast("string"))
 
 
+def p1_items(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_kind, item_key, content, max_chars, overlap_chars) of the items over the limit of their kind."""
+    units = table(spark, folder, "evidence_units").select(F.lit("evidence").alias("item_kind"), F.col("evidence_id").alias("item_key"), "content")
+    pages = table(spark, folder, "parsed_pages").select(F.lit("page").alias("item_kind"), F.concat("document_id", F.lit(":p"), F.col("page_number").cast("string")).alias("item_key"), F.col("text").alias("content"))
+    snippets = table(spark, folder, "context_bundles").select("bundle_id", F.posexplode("snippets").alias("position", "content"))
+    snippets = snippets.select(F.lit("snippet").alias("item_kind"), F.concat(F.lit("b"), padded(F.col("bundle_id"), 10), F.lit(":"), F.col("position").cast("string")).alias("item_key"), "content")
+    limits = table(spark, folder, "split_limits").select("item_kind", "max_chars", "overlap_chars")
+    sized = units.unionByName(pages).unionByName(snippets).join(limits, "item_kind")
+    return sized.where(F.char_length("content") > F.col("max_chars"))
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every item over the limit of its kind."""
+    pieces = split.with_pieces(p1_items(spark, folder), "content", "max_chars", "overlap_chars")
+    return pieces.select("item_kind", "item_key", "piece_no", "new_pos", "start_pos", "end_pos", "piece").distinct()
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that came out in more than one piece."""
+    pieces = split.with_pieces(p1_items(spark, folder), "content", "max_chars", "overlap_chars")
+    return pieces.where("piece_no > 0").select("item_kind", "item_key").distinct()
+
+
 def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     units = table(spark, folder, "evidence_units").select(F.col("document_id").alias("scope"), F.concat(F.lit("e:"), "evidence_id").alias("item_key"), "content")
     elements = layout_items(spark, folder).select(F.col("document_id").alias("scope"), layout_key().alias("item_key"), "content")
@@ -44,6 +68,8 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p1_found": p1_found,
+        "p1_pieces": p1_pieces,
         "p7_ids": p7_ids,
         "p5_found": p5_found,
         "p5_unified_evidence": p5_unified_evidence,
