@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.units import padded
 from ..session import materialize
 from ..sources.tables import table
-from . import encode, split, unify
+from . import encode, neardup, split, unify
 
 
 def layout_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +61,29 @@ def p5_unified_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return unify.with_unified(table(spark, folder, "evidence_units").select("evidence_id", "content"), "content").select("evidence_id", "unified").distinct()
 
 
+#: Classes of exact copies up to this size come out as all their pairs, larger ones as pairs with their first member.
+COPIES = 64
+
+
+def _p6(spark: SparkSession, folder: str):
+    units = table(spark, folder, "evidence_units").select("evidence_id", "content")
+    return neardup.near_copies(units, "evidence_id", "content", 0.6, 24)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of evidence units with a similarity of at least 0.6."""
+    members, links = _p6(spark, folder)
+    sizes = members.groupBy("form").agg(F.count("*").alias("size"), F.min("key").alias("head"))
+    a, b = (members.select(F.col("form").alias(f"form_{x}"), F.col("key").alias(x)) for x in "ab")
+    between = links.select("form_a", "form_b").join(a, "form_a").join(b, "form_b").select("a", "b")
+    copies = members.join(sizes.where("size > 1"), "form")
+    some = copies.where(F.col("size") <= COPIES).select("form", "key")
+    within = some.select("form", F.col("key").alias("a")).join(some.select("form", F.col("key").alias("b")), "form").where("a < b").select("a", "b")
+    star = copies.where((F.col("size") > COPIES) & (F.col("key") != F.col("head"))).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    pairs = between.unionByName(within).unionByName(star).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).distinct()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode.with_token_ids(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -70,6 +93,7 @@ def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p6_found": p6_found,
         "p7_ids": p7_ids,
         "p5_found": p5_found,
         "p5_unified_evidence": p5_unified_evidence,
