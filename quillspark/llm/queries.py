@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.units import padded
 from ..session import materialize
 from ..sources.tables import table
-from . import encode, neardup, split, unify
+from . import encode, neardup, pii, split, unify
 
 
 def layout_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +45,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("piece_no > 0").select("item_kind", "item_key").distinct()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mention of an e-mail address, telephone number, identity number, address or name."""
+    units = table(spark, folder, "evidence_units").select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("row_key"), F.col("content").alias("text"))
+    scans = table(spark, folder, "ocr_responses").select(F.lit("ocr").alias("src"), F.col("id").alias("row_key"), F.col("md_results").alias("text"))
+    return pii.mentions(units.unionByName(scans), "text").select("src", "row_key", "entity_type", "start_pos").distinct()
+
+
+def p2_redacted_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence contents with typed placeholders for personal information."""
+    return pii.with_placeholders(table(spark, folder, "evidence_units").select("evidence_id", "content"), "content").select("evidence_id", "redacted").distinct()
+
+
 def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     units = table(spark, folder, "evidence_units").select(F.col("document_id").alias("scope"), F.concat(F.lit("e:"), "evidence_id").alias("item_key"), "content")
     elements = layout_items(spark, folder).select(F.col("document_id").alias("scope"), layout_key().alias("item_key"), "content")
@@ -95,6 +107,8 @@ def queries() -> dict:
         "p1_pieces": p1_pieces,
         "p6_found": p6_found,
         "p7_ids": p7_ids,
+        "p2_found": p2_found,
+        "p2_redacted_evidence": p2_redacted_evidence,
         "p5_found": p5_found,
         "p5_unified_evidence": p5_unified_evidence,
     }
