@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pii_table
+from .chain import viterbi
 from .codepoints import pieces, slices, to_codes
 from .unify import _tables
 
@@ -199,23 +200,7 @@ class Tagger:
         opens[1:] = (np.diff(at) > 1) | first[at[1:]]
         begin = np.flatnonzero(opens)
         length = np.diff(np.append(begin, len(at)))
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        # all stretches step together; those that have ended drop off the end
-        alive = len(begin)
-        state = t[0] + score[begin]
-        back: list[np.ndarray] = []
-        for step in range(1, int(length[0])):
-            alive = int(np.searchsorted(-length, -step, "left"))
-            ways = state[:alive, :, None] + t
-            back.append(ways.argmax(1).astype(np.int8))
-            state[:alive] = ways.max(1) + score[begin[:alive] + step]
-        label = (state + t[:, 0]).argmax(1).astype(np.int8)
-        for step in range(int(length[0]) - 1, -1, -1):
-            here = int(np.searchsorted(-length, -step, "left"))
-            best[at[begin[:here] + step]] = label[:here]
-            if step:
-                label[:here] = back[step - 1][np.arange(here), label[:here]]
+        best[at] = viterbi(score, begin, length, t, t[0], t[:, 0])
         return best
 
 

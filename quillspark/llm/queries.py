@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.units import padded
 from ..session import materialize
 from ..sources.tables import table
-from . import encode, neardup, pii, split, unify
+from . import encode, neardup, pii, scans, split, unify
 
 
 def layout_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +57,21 @@ def p2_redacted_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return pii.with_placeholders(table(spark, folder, "evidence_units").select("evidence_id", "content"), "content").select("evidence_id", "redacted").distinct()
 
 
+def _scans(spark: SparkSession, folder: str):
+    ocr = table(spark, folder, "ocr_responses")
+    return ocr.select("id", "md_results", "layout_details"), scans.vocabulary(ocr.select("md_results"), "md_results")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every noisy line of scanned documents, in md_results and in the layout elements."""
+    return scans.noisy_lines(*_scans(spark, folder)).distinct()
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every md_results as continuous paragraphs."""
+    return scans.repaired_texts(*_scans(spark, folder)).select("item_key", "repaired").distinct()
+
+
 def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     units = table(spark, folder, "evidence_units").select(F.col("document_id").alias("scope"), F.concat(F.lit("e:"), "evidence_id").alias("item_key"), "content")
     elements = layout_items(spark, folder).select(F.col("document_id").alias("scope"), layout_key().alias("item_key"), "content")
@@ -109,6 +124,8 @@ def queries() -> dict:
         "p7_ids": p7_ids,
         "p2_found": p2_found,
         "p2_redacted_evidence": p2_redacted_evidence,
+        "p4_found": p4_found,
+        "p4_repaired": p4_repaired,
         "p5_found": p5_found,
         "p5_unified_evidence": p5_unified_evidence,
     }
