@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.units import padded
 from ..session import materialize
 from ..sources.tables import table
-from . import encode, neardup, pii, scans, split, unify
+from . import encode, neardup, pack, pii, reading, scans, split, unify
 
 
 def layout_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,12 +116,56 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.with_token_ids(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def _sized_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, n_tokens, container_kind, capacity_tokens): every document with every kind of container."""
+    coded = encode.with_token_ids(table(spark, folder, "documents").select("doc_id", "text"))
+    sizes = materialize(coded.select("doc_id", F.size("ids").alias("n_tokens")), "sizes")
+    # the kinds are a fixed setting of a few rows, so they go into the plan as literals
+    kinds = table(spark, folder, "pack_capacities").select("container_kind", "capacity_tokens").distinct().orderBy("container_kind").collect()
+    each = F.array(*[F.struct(F.lit(r[0]).alias("container_kind"), F.lit(r[1]).alias("capacity_tokens")) for r in kinds])
+    return sizes.select("doc_id", "n_tokens", F.explode(each).alias("k")).select("doc_id", "n_tokens", "k.container_kind", "k.capacity_tokens")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part of every document in a container of each kind."""
+    out = pack.with_containers(_sized_documents(spark, folder), "doc_id", "n_tokens", "capacity_tokens", "container_kind")
+    return out.select(F.col("kind").alias("container_kind"), F.col("container").alias("container_id"), F.col("key").alias("doc_id"), "part", F.col("begin").alias("begin_token"), F.col("size").alias("n_tokens"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind of container: containers, tokens in them, and the share of room that is used."""
+    loads = p8_containers(spark, folder).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("load"))
+    total = loads.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("load").alias("tokens"), F.max("load").alias("fullest"))
+    return total.join(table(spark, folder, "pack_capacities"), "container_kind").select("container_kind", "containers", "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("used"))
+
+
+def _graded(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    anchors = table(spark, folder, "reading_anchors").select("text", "level").where("text is not null and level is not null").orderBy("anchor_id")
+    grader = reading.Grader(*reading.rarities(documents, "text")).fit([(r["text"], r["level"]) for r in anchors.collect()])
+    return reading.with_level(documents, "text", grader)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The reading level of each document of at least 40 words."""
+    return _graded(spark, folder).where("level is not null").select("doc_id", "level").distinct()
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and their mean score by level, with those too short to judge."""
+    return _graded(spark, folder).groupBy("level").agg(F.count("*").alias("documents"), F.round(F.avg("score"), 3).alias("mean_score"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
         "p6_found": p6_found,
         "p7_ids": p7_ids,
+        "p8_containers": p8_containers,
+        "p8_fill": p8_fill,
+        "p9_found": p9_found,
+        "p9_profile": p9_profile,
         "p2_found": p2_found,
         "p2_redacted_evidence": p2_redacted_evidence,
         "p4_found": p4_found,
