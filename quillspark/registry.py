@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import text as _text
 from .plans import units as _units
 
-MODULES = [_units]
+MODULES = [_text, _units]
 
 
 def queries() -> dict:
