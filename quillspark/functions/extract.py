@@ -65,8 +65,8 @@ def raw_numbers(c: str | Column) -> Column:
 
 
 def codes(c: str | Column) -> Column:
-    """The different reference codes in upper case, sorted."""
-    return _set(F.transform(_all(_bounded(c), CODE), F.upper))
+    """The different reference codes in upper case, sorted; the Kelvin sign and the long s count as k and s."""
+    return _set(F.transform(_all(_bounded(c), CODE.replace("A-Z0-9-", "A-Z0-9\u212a\u017f-")), F.upper))
 
 
 def fields(c: str | Column) -> Column:

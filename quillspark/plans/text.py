@@ -88,7 +88,7 @@ QUERIES = {
 _E, _D = "evidence_units", "documents"
 ORACLE = {
     "txt_normalize": _sql(_E, "evidence_id", norm=S.normalized("content")),
-    "txt_trigram_stats": f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(n) < 3 THEN CASE WHEN n = '' THEN 0 ELSE 1 END ELSE len(list_distinct(list_transform(list_zip(c, c[2:], c[3:]), lambda z: z[1] || z[2] || z[3]))) END AS n_trigrams FROM (SELECT *, string_split(n, '') AS c FROM (SELECT doc_id, text, {S.normalized('text')} AS n FROM documents))",
+    "txt_trigram_stats": f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(n) < 3 THEN CASE WHEN n = '' THEN 0 ELSE 1 END ELSE len(list_distinct(list_transform(list_zip(c, c[2:], c[3:]), lambda z: z[1] || z[2] || z[3]))) END AS n_trigrams FROM (SELECT *, regexp_extract_all(n, '(?s).') AS c FROM (SELECT doc_id, text, {S.normalized('text')} AS n FROM documents))",
     "txt_token_stats": _sql(_D, "doc_id", n_tokens=f"len({S.every('lower(text)', '[a-z0-9]+')})", n_different=f"len(list_distinct({S.every('lower(text)', '[a-z0-9]+')}))"),
     "txt_clause_tokens": _sql(_E, "evidence_id", n_tokens=f"len({S.pieces('content')})", tokens=S.joined(f"list_transform({S.pieces('content')}, lambda t: trim(lower(t), {S.quoted(T.STRIPPED)}))")),
     "txt_token_count": _sql(_D, "doc_id", n_tokens=f"len({S.pieces('text')})"),
