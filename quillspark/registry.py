@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .plans import ingest as _ingest
+from .plans import review as _review
 from .plans import search as _search
 from .plans import text as _text
 from .plans import units as _units
 
-MODULES = [_text, _ingest, _search, _units]
+MODULES = [_text, _ingest, _search, _review, _units]
 
 
 def queries() -> dict:
