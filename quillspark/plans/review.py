@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
@@ -48,12 +49,27 @@ def pairs(spark, folder):
     return docs.join(nxt, "n").select(F.concat_ws("~", "document_id", "right_document_id").alias("pair_id"), F.col("document_id").alias("left_document_id"), "right_document_id")
 
 
+def run_pairs(spark, folder):
+    """Each run of a document with the run before it: two versions of one document."""
+    runs = table(spark, folder, "ocr_responses").select("id", "document_id", "created").dropDuplicates(["id"])
+    before = F.lag("id").over(Window.partitionBy("document_id").orderBy("created", "id"))
+    return runs.withColumn("left_document_id", before).where("left_document_id is not null").select(F.col("id").alias("pair_id"), "left_document_id", F.col("id").alias("right_document_id"))
+
+
+def run_units(spark, folder):
+    """Evidence units of the runs that have another version, each run as a document of its own."""
+    p = run_pairs(spark, folder)
+    some = p.select(F.col("left_document_id").alias("id")).unionByName(p.select(F.col("right_document_id").alias("id"))).distinct()
+    runs = table(spark, folder, "ocr_responses").dropDuplicates(["id"]).join(some, "id", "left_semi")
+    return I.evidence_units(runs.withColumn("document_id", F.col("id"))).select("evidence_id", "document_id", "content", "page_number")
+
+
 def _units(spark, folder):
     return I.upserted(table(spark, folder, "evidence_units")).select("evidence_id", "document_id", "content", "page_number")
 
 
 def _compared(mode):
-    return lambda s, f: C.compare(_units(s, f), pairs(s, f), mode)
+    return lambda s, f: C.compare(run_units(s, f), run_pairs(s, f), mode)
 
 
 def claimed(spark, folder):
@@ -68,8 +84,6 @@ def claimed(spark, folder):
 def versions(spark, folder):
     """Word differences between the runs of one document, in the order of their making."""
     runs = table(spark, folder, "ocr_responses").select("id", "document_id", "created", "md_results").where("md_results is not null").distinct()
-    from pyspark.sql import Window
-
     w = Window.partitionBy("document_id").orderBy("created", "id")
     two = runs.withColumn("before", F.lag("md_results").over(w)).where("before is not null").select("id", "before", F.col("md_results").alias("after"))
 
