@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import extract as X
 from ..functions import text as T
@@ -84,7 +85,7 @@ def conflicts(df: DataFrame, claim: str = "claim", evidence: str = "evidence") -
     return out.withColumn("conflicts", F.filter(kinds, lambda k: k.isNotNull()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def junk_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts as the clause check measures it, popular characters of long texts left out."""
     return pd.Series([None if x is None or y is None else ratio(x, y, True) for x, y in zip(a, b)], dtype="float64")

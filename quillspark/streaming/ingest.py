@@ -15,7 +15,8 @@ def table_stream(spark: SparkSession, folder: str, name: str, files: int | None
     """A table of a data folder as a stream of its files, with the schema it has."""
     path = f"{folder}/{name}.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+    # as a pattern, so that the table may be one file or a folder of them
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path[:-1]}[t]")
 
 
 def units_stream(responses: DataFrame, out: str, checkpoint: str, **trigger):
