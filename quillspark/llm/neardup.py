@@ -4,8 +4,8 @@ Texts are compared in the consistent form of `unify`, as sequences of lower-case
 similarity of two texts is the number of different three-word sequences in both over the
 number in either. Candidates come from Order MinHash: each of ``sketches`` hash functions
 picks the ``picked`` smallest of a text's occurrence-labelled k-mers and keeps them in text
-order, so texts meet that share content in the same order. Candidates are verified by a
-banded alignment of their three-word sequences; where the band alone doesn't settle it, as
+order, so texts meet that share content in the same order. Candidates that can't reach the threshold,
+by how their sequences fall into bins, are dropped; the others are verified by a banded alignment of their three-word sequences; where the band alone doesn't settle it, as
 after reordering, by counting all of them. No pair is taken or dropped on an estimate.
 
 Texts with equal sets of sequences form a class first, so copies, however many, take part
@@ -28,7 +28,7 @@ from ..session import materialize
 from .codepoints import slices, to_codes
 from .unify import unify_codes
 
-KMER, PICKED, SKETCHES, CROWD = 4, 2, 24, 200
+KMER, PICKED, SKETCHES, CROWD = 4, 2, 40, 200
 #: Half the width of the band, in sequences.
 BAND = 12
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -114,16 +114,19 @@ def order_sketches(words: np.ndarray, offsets: np.ndarray, k: int = KMER, picked
     with np.errstate(over="ignore"):
         labelled = mix(h + occurrences(h, at).astype(np.uint64) * _C)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    factors = mix(np.arange(1, sketches + 1, dtype=np.uint64) * _C) | np.uint64(1)
     with np.errstate(over="ignore"):
         for s in range(sketches):
-            v = mix(labelled + np.uint64(s + 1) * _C)
+            # the values are well mixed, so two rounds with a factor of its own give each sketch its order
+            v = (labelled ^ factors[s]) * factors[s]
+            v = (v ^ (v >> np.uint64(32))) * _B
             chosen = []
             for r in range(picked):
                 low = np.minimum.reduceat(v, begins)
-                hit = np.flatnonzero(v == np.repeat(low, sizes))
-                row = np.searchsorted(begins, hit, "right") - 1
-                _, one = np.unique(row, return_index=True)
-                place = hit[one]
+                place = np.flatnonzero(v == np.repeat(low, sizes))
+                if len(place) != len(begins):
+                    _, one = np.unique(np.searchsorted(begins, place, "right") - 1, return_index=True)
+                    place = place[one]
                 chosen.append(np.where(low == top, np.int64(-1), place))
                 v[place] = top
             places = np.sort(np.stack(chosen), axis=0)
@@ -135,7 +138,7 @@ def order_sketches(words: np.ndarray, offsets: np.ndarray, k: int = KMER, picked
 
 
 def with_words(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(key, form, words) of texts of at least ``least`` words: word hashes and a digest of the set of their three-word sequences."""
+    """(key, form, n, words) of texts of at least ``least`` words: a digest of the set of their three-word sequences, its size, and word hashes."""
 
     def run(batches):
         for batch in batches:
@@ -144,12 +147,13 @@ def with_words(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
                 words, at = word_hashes(codes, offsets)
                 h, gat = grams(words, at, 3)
                 rows = np.flatnonzero(np.diff(at) >= least)
-                forms = [hashlib.md5(np.unique(h[gat[r] : gat[r + 1]]).tobytes()).digest() for r in rows]
+                sets = [np.unique(h[gat[r] : gat[r + 1]]) for r in rows]
+                forms, sizes = [hashlib.md5(x.tobytes()).digest() for x in sets], [len(x) for x in sets]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words)).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(rows)), pa.array(forms, pa.binary()), lists], names=["key", "form", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(rows)), pa.array(forms, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["key", "form", "n", "words"])
 
     source = df.where(F.col(text).isNotNull() & (F.char_length(text) >= 2 * least - 1)).select(key, text)
-    return source.mapInArrow(run, "key string, form binary, words array<int>")
+    return source.mapInArrow(run, "key string, form binary, n int, words array<int>")
 
 
 def _words_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -255,16 +259,33 @@ def similarities(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarra
     return both / np.maximum(na + nb - both, 1)
 
 
+def _possible(pairs: pa.RecordBatch, threshold: float, bins: int = 128) -> np.ndarray:
+    """Which pairs can reach the threshold: sequences fall into bins, and the two share at most the smaller count of each bin."""
+    counts = []
+    for side in ("words_a", "words_b"):
+        h, at = grams(*_words_of(pairs.column(side)), 3)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        cell = row * bins + (h >> np.uint64(40)).astype(np.int64) % bins
+        counts.append(np.bincount(cell, minlength=(len(at) - 1) * bins).reshape(-1, bins))
+    most = np.minimum(*counts).sum(1)
+    both = pairs.column("n_a").to_numpy().astype(np.int64) + pairs.column("n_b").to_numpy()
+    return most >= threshold / (1 + threshold) * both - 1e-9
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
                 part = batch.slice(begin, 2000)
+                part = part.filter(pa.array(_possible(part, threshold)))
+                if not part.num_rows:
+                    continue
                 s = similarities(*_first_grams(part.column("words_a")), *_first_grams(part.column("words_b")), threshold)
                 part = part.append_column("similarity", pa.array(s))
                 yield part.filter(pa.array(s >= threshold - 1e-12)).select(["form_a", "form_b", "similarity"])
 
-    return pairs.select("form_a", "words_a", "form_b", "words_b").mapInArrow(run, "form_a binary, form_b binary, similarity double")
+    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    return pairs.where(near).select("form_a", "n_a", "words_a", "form_b", "n_b", "words_b").mapInArrow(run, "form_a binary, form_b binary, similarity double")
 
 
 def _crowded(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -293,12 +314,12 @@ def near_copies(df: DataFrame, key: str, text: str, threshold: float = 0.8, leas
     rows = materialize(with_words(df, key, text, least_words).where("key is not null"), "words")
     members = rows.select("key", "form").distinct()
     cid = F.conv(F.substring(F.hex("form"), 1, 15), 16, 10).cast("long")
-    classes = materialize(rows.groupBy("form").agg(F.first("words").alias("words")).withColumn("cid", cid), "classes")
+    classes = materialize(rows.groupBy("form").agg(F.first("n").alias("n"), F.first("words").alias("words")).withColumn("cid", cid), "classes")
     candidates = materialize(_met(_sketched(classes, k, picked, sketches), crowd).distinct(), "candidates")
     hot = candidates.where("cid_b is null").select(F.col("cid_a").alias("cid"))
     candidates = candidates.where("cid_b is not null").unionByName(_crowded(classes, hot, threshold)).distinct()
-    left = classes.select(F.col("cid").alias("cid_a"), F.col("form").alias("form_a"), F.col("words").alias("words_a"))
-    right = classes.select(F.col("cid").alias("cid_b"), F.col("form").alias("form_b"), F.col("words").alias("words_b"))
+    left = classes.select(F.col("cid").alias("cid_a"), F.col("form").alias("form_a"), F.col("n").alias("n_a"), F.col("words").alias("words_a"))
+    right = classes.select(F.col("cid").alias("cid_b"), F.col("form").alias("form_b"), F.col("n").alias("n_b"), F.col("words").alias("words_b"))
     links = _verified(candidates.join(left, "cid_a").join(right, "cid_b"), threshold)
     ordered = links.select(F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b"), "similarity")
     return members, materialize(ordered.where("form_a <> form_b").distinct(), "links")
