@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..plans.units import padded
 from ..session import materialize
 from ..sources.tables import table
@@ -111,6 +112,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).distinct()
 
 
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evidence unit that is compared, with its group, the members of its class, and links to other classes."""
+    members, links = _p6(spark, folder)
+    linked = components(links.select(F.hex("form_a").alias("a"), F.hex("form_b").alias("b")), "a", "b")
+    degree = links.select(F.explode(F.array("form_a", "form_b")).alias("form")).groupBy("form").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("form").agg(F.count("*").alias("copies"), F.min("key").alias("head"))
+    classes = sizes.join(degree, "form", "left").join(linked.select(F.unhex("node").alias("form"), "component"), "form", "left")
+    classes = classes.select("form", "head", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", F.hex("form")).alias("component"))
+    names = classes.groupBy("component").agg(F.min("head").alias("group_id"))
+    named = classes.join(names, "component").select("form", "group_id", "copies", "links")
+    return members.join(named, "form").select(F.col("key").alias("evidence_id"), "group_id", "copies", "links")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode.with_token_ids(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -161,6 +175,7 @@ def queries() -> dict:
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
         "p6_found": p6_found,
+        "p6_groups": p6_groups,
         "p7_ids": p7_ids,
         "p8_containers": p8_containers,
         "p8_fill": p8_fill,
