@@ -41,10 +41,8 @@ def normalized(c: str | Column) -> Column:
 def trigrams(c: str | Column) -> Column:
     """The different three-character sequences of the normalised text; the text itself if it is shorter, none if empty."""
     n = normalized(c)
-    # by whole characters: a look-ahead would also match inside those that Java stores as two
-    c = F.regexp_extract_all(n, F.lit("(?s)."), 0)
-    many = F.size(c) - 2
-    threes = F.zip_with(F.zip_with(F.slice(c, 1, many), F.slice(c, 2, many), lambda a, b: F.concat(a, b)), F.slice(c, 3, many), lambda a, b: F.concat(a, b))
+    # a look-ahead at every place, but not between the two halves that Java stores some characters as
+    threes = F.regexp_extract_all(n, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{3}))"), 1)
     return F.when(n.isNull(), F.lit(None)).when(F.char_length(n) >= 3, F.array_distinct(threes)).when(n == "", F.array().cast("array<string>")).otherwise(F.array(n))
 
 
