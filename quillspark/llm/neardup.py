@@ -184,9 +184,6 @@ def _met(entries: DataFrame, crowd: int) -> DataFrame:
         for batch in batches:
             s = np.concatenate([carry_s, batch.column("sketch").to_numpy()])
             c = np.concatenate([carry_c, batch.column("cid").to_numpy()])
-            first = np.ones(len(s), bool)
-            first[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-            s, c = s[first], c[first]
             alone = np.zeros(0, np.int64)
             if crowded is not None:
                 stay = int(np.searchsorted(s != crowded, True)) if (s != crowded).any() else len(s)
@@ -216,9 +213,10 @@ def _met(entries: DataFrame, crowd: int) -> DataFrame:
             same = s[d:] == s[:-d] if len(s) > d else np.zeros(0, bool)
             if not same.any():
                 break
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-d][same]), pa.array(c[d:][same])], names=["cid_a", "cid_b"])
+            a, b = c[:-d][same], c[d:][same]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cid_a", "cid_b"])
 
-    return entries.repartition("sketch").sortWithinPartitions("sketch", "cid").mapInArrow(run, "cid_a long, cid_b long")
+    return entries.repartition("sketch").sortWithinPartitions("sketch").mapInArrow(run, "cid_a long, cid_b long")
 
 
 def _first_grams(column) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +315,7 @@ def near_copies(df: DataFrame, key: str, text: str, threshold: float = 0.8, leas
     classes = materialize(rows.groupBy("form").agg(F.first("n").alias("n"), F.first("words").alias("words")).withColumn("cid", cid), "classes")
     candidates = materialize(_met(_sketched(classes, k, picked, sketches), crowd).distinct(), "candidates")
     hot = candidates.where("cid_b is null").select(F.col("cid_a").alias("cid"))
-    candidates = candidates.where("cid_b is not null").unionByName(_crowded(classes, hot, threshold)).distinct()
+    candidates = candidates.where("cid_a < cid_b").unionByName(_crowded(classes, hot, threshold)).distinct()
     left = classes.select(F.col("cid").alias("cid_a"), F.col("form").alias("form_a"), F.col("n").alias("n_a"), F.col("words").alias("words_a"))
     right = classes.select(F.col("cid").alias("cid_b"), F.col("form").alias("form_b"), F.col("n").alias("n_b"), F.col("words").alias("words_b"))
     links = _verified(candidates.join(left, "cid_a").join(right, "cid_b"), threshold)
