@@ -46,4 +46,4 @@ def detection_prompt(claim: str, context: str, conflicts: str):
 def parsed_answer(answer: str, schema: str):
     """The JSON of an answer, also where it stands within other text; null where there is none."""
     inner = F.regexp_extract(F.col(answer), r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.from_json(F.col(answer), schema, {"mode": "PERMISSIVE"}), F.from_json(F.when(inner != "", inner), schema))
+    return F.from_json(F.when(inner != "", inner), schema)
