@@ -29,6 +29,8 @@ from .codepoints import slices, to_codes
 from .unify import unify_codes
 
 KMER, PICKED, SKETCHES, CROWD = 4, 2, 40, 200
+#: Sizes of sets are told apart in buckets by powers of this.
+SIZE_STEP = 1.1
 #: Half the width of the band, in sequences.
 BAND = 12
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -171,9 +173,11 @@ def _sketched(classes: DataFrame, k: int, picked: int, sketches: int) -> DataFra
     return classes.select("cid", "words").mapInArrow(run, "sketch long, cid long")
 
 
-def _met(entries: DataFrame, crowd: int) -> DataFrame:
+def _met(entries: DataFrame, crowd: int, apart: int) -> DataFrame:
     """Pairs (cid_a < cid_b) of classes in one bucket; a member of a crowded bucket comes out alone, cid_b null.
 
+    Pairs whose sizes are more than ``apart`` steps from each other can't be similar enough and stay out.
+
     Reads each partition as a stream sorted by bucket, so a bucket of any size takes no more
     memory than ``crowd`` entries.
     """
@@ -214,6 +218,8 @@ def _met(entries: DataFrame, crowd: int) -> DataFrame:
             if not same.any():
                 break
             a, b = c[:-d][same], c[d:][same]
+            near = np.abs((a & 255) - (b & 255)) <= apart
+            a, b = a[near], b[near]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["cid_a", "cid_b"])
 
     return entries.repartition("sketch").sortWithinPartitions("sketch").mapInArrow(run, "cid_a long, cid_b long")
@@ -311,9 +317,13 @@ def near_copies(df: DataFrame, key: str, text: str, threshold: float = 0.8, leas
     """
     rows = materialize(with_words(df, key, text, least_words).where("key is not null"), "words")
     members = rows.select("key", "form").distinct()
-    cid = F.conv(F.substring(F.hex("form"), 1, 15), 16, 10).cast("long")
+    # a class is known in buckets by 52 bits of its digest and the step of its size; classes that
+    # share them are told apart by their whole digest later
+    step = F.least(F.lit(255), F.floor(F.log(F.col("n")) / math.log(SIZE_STEP))).cast("long")
+    cid = F.conv(F.substring(F.hex("form"), 1, 13), 16, 10).cast("long") * 256 + step
     classes = materialize(rows.groupBy("form").agg(F.first("n").alias("n"), F.first("words").alias("words")).withColumn("cid", cid), "classes")
-    candidates = materialize(_met(_sketched(classes, k, picked, sketches), crowd).distinct(), "candidates")
+    apart = math.floor(math.log(1 / threshold) / math.log(SIZE_STEP)) + 1
+    candidates = materialize(_met(_sketched(classes, k, picked, sketches), crowd, apart).distinct(), "candidates")
     hot = candidates.where("cid_b is null").select(F.col("cid_a").alias("cid"))
     candidates = candidates.where("cid_a < cid_b").unionByName(_crowded(classes, hot, threshold)).distinct()
     left = classes.select(F.col("cid").alias("cid_a"), F.col("form").alias("form_a"), F.col("n").alias("n_a"), F.col("words").alias("words_a"))
