@@ -32,10 +32,19 @@ def flags(spark, folder):
 
 
 def fact_conflicts(spark, folder):
-    """Dates of a claim against dates of each evidence unit of its document: an equi-join, then the check."""
-    claims = bundles(spark, folder).where("claim is not null").select("bundle_id", "document_id", X.dates("claim").alias("a"))
-    units = I.upserted(table(spark, folder, "evidence_units")).where("content is not null").select("document_id", "evidence_id", X.dates("content").alias("b"))
-    return claims.where(F.size("a") > 0).join(units.where(F.size("b") > 0), "document_id").where(D.apart(F.col("a"), F.col("b"))).groupBy("bundle_id").agg(F.count("*").alias("conflicting_units"))
+    """How many evidence units of its document have dates of which none is in a claim.
+
+    Counted as all units with dates less those that share one, so claims and units of a large
+    document are never paired up.
+    """
+    claims = bundles(spark, folder).where("claim is not null").select("bundle_id", "document_id", X.dates("claim").alias("a")).where(F.size("a") > 0).distinct()
+    units = I.upserted(table(spark, folder, "evidence_units")).where("content is not null").select("document_id", "evidence_id", X.dates("content").alias("b")).where(F.size("b") > 0)
+    dated = units.groupBy("document_id").agg(F.count("*").alias("dated"))
+    asked = claims.select("bundle_id", "document_id", F.explode("a").alias("date"))
+    held = units.select("document_id", "evidence_id", F.explode("b").alias("date"))
+    sharing = asked.join(held, ["document_id", "date"]).groupBy("bundle_id").agg(F.countDistinct("evidence_id").alias("sharing"))
+    rows = claims.select("bundle_id", "document_id").join(dated, "document_id").join(sharing, "bundle_id", "left")
+    return rows.select("bundle_id", (F.col("dated") - F.coalesce("sharing", F.lit(0))).alias("conflicting_units")).where("conflicting_units > 0")
 
 
 def detected(spark, folder):

@@ -78,8 +78,7 @@ def fused(spark, folder):
 def grounded(spark, folder):
     """The best evidence of the claim's own document, with its text: the filter is applied before ranking."""
     q = claims(spark, folder)
-    docs = [r[0] for r in q.select("document_id").distinct().orderBy("document_id").toLocalIterator()]
-    own = R.of_documents(corpus(spark, folder), docs)
+    own = corpus(spark, folder).join(q.select("document_id").distinct(), "document_id", "left_semi")
     hits = R.keyword(own, q.select("query_id", "query"), 5, "lexical").select("query_id", "id", "rank", "score")
     return hits.join(own.select("id", "document_id", "text"), "id").select("query_id", "id", "document_id", "rank", "score", F.md5("text").alias("text"))
 
