@@ -60,7 +60,7 @@ def p2_redacted_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scans(spark: SparkSession, folder: str):
     ocr = table(spark, folder, "ocr_responses")
-    return ocr.select("id", "md_results", "layout_details"), scans.vocabulary(ocr.select("md_results"), "md_results")
+    return ocr.select("id", "md_results", "layout_details"), scans.word_counts(ocr.select("md_results"), "md_results")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .chain import viterbi
 from .unify import INVISIBLE, LOOK_ALIKES
 
 STATES = ["header", "page_no", "body", "break"]
-#: A word belongs to the vocabulary from this count and this share of all words on; at most 1/SHARE words do.
-LEAST, SHARE = 3, 1e-6
-RATIO = 20
+#: A word is rare below this count, however large the collection is.
+LEAST = 3
+#: A misread word's true word is at least RATIO times as frequent, and has at least SEEN occurrences.
+RATIO, SEEN = 20, 5
 # What scanning makes of characters, read -> true.
 CONFUSIONS = [("c", "e"), ("u", "a"), ("f", "t"), ("l", "i"), ("0", "o"), ("1", "l"), ("1", "i"), ("v", "u"), ("q", "g"), ("6", "é"), ("5", "s"), ("cl", "d"), ("rn", "m"), ("m", "rn"), ("8", "b"), ("9", "g"), ("n", "ri"), ("rm", "nn"), ("li", "h"), ("d", "cl"), ("vv", "w"), ("ii", "u"), ("é", "6"), ("6", "b"), ("i", "l"), ("|", "l"), ("!", "l"), ("€", "e")]
 HYPHENS = "-‐‑­¬"
@@ -215,6 +217,26 @@ def label_lines(documents: list[list[Page]]) -> list[list[str]]:
     return out
 
 
+def _undone(word: str) -> list[str]:
+    """What ``word`` becomes when one confusion is undone."""
+    out = []
+    for read, true in CONFUSIONS:
+        at = word.find(read)
+        while at >= 0:
+            out.append(word[:at] + true + word[at + len(read) :])
+            at = word.find(read, at + 1)
+    return out
+
+
+def _twice(low: str, count: int) -> bool:
+    """Whether two confusions of a word may be undone."""
+    return count < LEAST and len(low) >= 5
+
+
+def _divisible(left: str, right: str) -> bool:
+    return bool(left and right and left.isalpha() and right[:1].islower())
+
+
 class Words:
     """The words of the collection with their counts, and what is known of written words so far."""
 
@@ -228,27 +250,22 @@ class Words:
     def __setstate__(self, counts):
         self.__init__(counts)
 
-    def _undone(self, word: str) -> list[str]:
-        out = []
-        for read, true in CONFUSIONS:
-            at = word.find(read)
-            while at >= 0:
-                out.append(word[:at] + true + word[at + len(read) :])
-                at = word.find(read, at + 1)
-        return out
+    def known(self, word: str) -> bool:
+        """Whether the word is one of the collection and not rare."""
+        return self.counts.get(word.lower(), 0) >= LEAST
 
     def true_word(self, word: str) -> str | None:
         """The word that ``word`` is a misreading of, in lower case, or None."""
         low = word.lower()
         count = self.counts.get(low, 0)
-        least = max(5, RATIO * count)
-        once = self._undone(low)
+        least = max(SEEN, RATIO * count)
+        once = _undone(low)
         best = max(once, key=lambda w: self.counts.get(w, 0), default=None)
         if best and self.counts.get(best, 0) >= least:
             return best
-        if count or len(low) < 5:
+        if not _twice(low, count):
             return None
-        twice = [w for o in once for w in self._undone(o)]
+        twice = [w for o in once for w in _undone(o)]
         best = max(twice, key=lambda w: self.counts.get(w, 0), default=None)
         return best if best and self.counts.get(best, 0) >= least else None
 
@@ -276,11 +293,11 @@ class Words:
                 if any(c.isdigit() for c in word) and not word.isdigit() and len(word) > 1 and not re.fullmatch(r"\d+[lI]", word):
                     wrong = True
                     return digits
-                if len(word) > 1 and not word.isdigit() and coded and word.lower() not in self.counts:
+                if len(word) > 1 and not word.isdigit() and coded and not self.known(word):
                     return word
             if coded and (word.isupper() or any(c.isdigit() for c in word)) or word.isdigit():
                 return word
-            if len(word) < 3 or (word.isupper() and any(c.isdigit() for c in word) and self.counts.get(word.lower(), 0) == 0 and sum(c.isdigit() for c in word) > 1):
+            if len(word) < 3 or (word.isupper() and any(c.isdigit() for c in word) and not self.known(word) and sum(c.isdigit() for c in word) > 1):
                 return word
             if any(c.isalpha() for c in word) and (true := self.true_word(word)):
                 wrong = True
@@ -292,7 +309,7 @@ class Words:
 
     def divided(self, left: str, right: str) -> bool:
         """Whether ``left`` at a line end and ``right`` on the next line are one word divided there."""
-        if not left or not right or not left.isalpha() or not right[:1].islower():
+        if not _divisible(left, right):
             return False
         joined, compound = (left + right).lower(), f"{left}-{right}".lower()
         whole, own = self.counts.get(joined, 0), self.counts.get(compound, 0)
@@ -304,6 +321,58 @@ class Words:
         return not (a >= 5 and b >= 5 and len(left) > 2 and len(right) > 2)
 
 
+class Asked(Words):
+    """Takes down what is asked of the words: words in lower case, and divided words as two parts around a tab."""
+
+    def __init__(self):
+        super().__init__({})
+        self.new: list[str] = []
+        self._seen: set[str] = set()
+
+    def _ask(self, what: str) -> None:
+        if len(self._seen) > 300_000:
+            self._seen = set()
+        if what not in self._seen:
+            self._seen.add(what)
+            self.new.append(what)
+
+    def known(self, word: str) -> bool:
+        self._ask(word.lower())
+        return True
+
+    def true_word(self, word: str) -> None:
+        self._ask(word.lower())
+
+    def divided(self, left: str, right: str) -> bool:
+        # the words are asked for as they stand apart, and the joined word here
+        if _divisible(left, right):
+            self._ask(f"{left}\t{right}")
+            self.true_word(left + right)
+            self.repaired(left + right)
+        return False
+
+
+class Answers(Words):
+    """What `answers` found out about the words that were asked for."""
+
+    def __init__(self, found: tuple[dict[str, str], set[str], set[str]]):
+        super().__init__({})
+        self.found = found
+        self._true, self._usual, self._joins = found
+
+    def __getstate__(self):
+        return self.found
+
+    def known(self, word: str) -> bool:
+        return word.lower() in self._usual
+
+    def true_word(self, word: str) -> str | None:
+        return self._true.get(word.lower())
+
+    def divided(self, left: str, right: str) -> bool:
+        return _divisible(left, right) and f"{left}\t{right}" in self._joins
+
+
 def _cased(word: str, true: str) -> str:
     """``true`` in the case of ``word``: its own letters where they agree, capitals between capitals."""
     a = b = 0
@@ -412,26 +481,121 @@ def _bare(md: str) -> list[Page]:
     return [*pages, Page(now)] if now or not pages else pages
 
 
-def vocabulary(texts: DataFrame, column: str, least: int = LEAST, share: float = SHARE) -> dict[str, int]:
-    """Words and hyphenated compounds with their counts over all rows, those of at least ``share`` of all words.
-
-    Bounded: at most 1 / share words can have that share.
-    """
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """(word, n): words and hyphenated compounds with their counts over all rows."""
     whole = F.regexp_replace(column, rf"\S+[{HYPHENS}]\s*\n\S+", " ")
     found = texts.where(F.col(column).isNotNull()).select(F.explode(F.regexp_extract_all(F.lower(whole), F.lit(r"\p{L}+(?:-\p{L}+)*"), 0)).alias("word"))
-    counts = found.groupBy("word").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= max(least, share * total)).toLocalIterator()}
+    return found.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def vocabulary(texts: DataFrame, column: str, least: int = LEAST) -> dict[str, int]:
+    """`word_counts` of at least ``least`` as a dictionary, for small collections."""
+    return {r["word"]: r["n"] for r in word_counts(texts, column).where(F.col("n") >= least).toLocalIterator()}
+
+
+def _forms(batches):
+    """(ask, n, form, level, at): what each word becomes when one or, where that may be, two confusions are undone."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 512):
+            rows = []
+            for word, n in zip(*(batch.slice(begin, 512).column(c).to_pylist() for c in ("ask", "n"))):
+                once = _undone(word)
+                rows += [(word, n, form, 1, at) for at, form in enumerate(once)]
+                if _twice(word, n):
+                    rows += [(word, n, form, 2, at) for at, form in enumerate(w for o in once for w in _undone(o))]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["ask", "n", "form", "level", "at"])
+
+
+def _roles(batches):
+    """(pair, role, word): the words whose counts decide whether two parts are one divided word."""
+    for batch in batches:
+        rows = []
+        for pair in batch.column("ask").to_pylist():
+            left, right = pair.split("\t")
+            rows += [(pair, "whole", (left + right).lower()), (pair, "own", f"{left}-{right}".lower()), (pair, "left", left.lower()), (pair, "right", right)]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["pair", "role", "word"])
+
+
+def true_words(asks: DataFrame, counts: DataFrame) -> DataFrame:
+    """(ask, form): what those of ``asks(ask)`` that were misread should read, by all of ``counts(word, n)``."""
+    own = asks.join(counts, asks.ask == counts.word, "left").select("ask", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    forms = own.mapInArrow(_forms, "ask string, n long, form string, level int, at int")
+    usual = counts.where(F.col("n") >= SEEN).select(F.col("word").alias("form"), F.col("n").alias("m"))
+    fit = forms.join(usual, "form").where(F.col("m") >= RATIO * F.col("n"))
+    return fit.groupBy("ask").agg(F.min(F.struct("level", -F.col("m"), "at", "form"))["form"].alias("form"))
+
+
+def joins(pairs: DataFrame, fixes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pair): those of ``pairs(ask)`` that are one divided word."""
+    roles = pairs.mapInArrow(_roles, "pair string, role string, word string").join(counts, "word", "left")
+    roles = roles.join(fixes.select(F.col("ask").alias("word"), F.lit(True).alias("misread")), "word", "left")
+    n = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0)).alias(role)
+    by = roles.groupBy("pair").agg(n("whole"), n("own"), n("left"), n("right"), F.coalesce(F.bool_or((F.col("role") == "whole") & F.col("misread")), F.lit(False)).alias("misread"))
+    size = lambda k: F.char_length(F.split_part("pair", F.lit("\t"), F.lit(k)))
+    apart = (F.col("left") >= 5) & (F.col("right") >= 5) & (size(1) > 2) & (size(2) > 2)
+    return by.where(F.when((F.col("whole") > 0) | (F.col("own") > 0), F.col("whole") >= F.col("own")).otherwise(F.col("misread") | ~apart)).select("pair")
+
+
+def answers(asks: DataFrame, counts: DataFrame) -> Answers:
+    """What ``asks(ask)`` ask for, decided on all of ``counts(word, n)``: only repairs and joins come to the driver."""
+    counts, asks = materialize(counts, "counts"), materialize(asks.distinct(), "asks")
+    pair = F.contains("ask", F.lit("\t"))
+    words = asks.where(~pair)
+    fixes = materialize(true_words(words, counts), "fixes")
+    # only of words of these letters it is asked whether they are known: others with digits never are
+    usual = words.where(F.col("ask").rlike("^[oli]+$")).join(counts.where(F.col("n") >= LEAST), words.ask == counts.word)
+    whole = {r["ask"]: r["form"] for r in fixes.toLocalIterator()}
+    return Answers((whole, {r["ask"] for r in usual.select("ask").toLocalIterator()}, {r["pair"] for r in joins(asks.where(pair), fixes, counts).toLocalIterator()}))
+
+
+LAYOUT = "array<array<struct<index:int,label:string,content:string>>>"
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    """``df`` with the states of its lines, as digits, and what it asks of the words; a task asks the same thing once."""
+
+    def run(batches):
+        asked = Asked()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                documents = list(_documents(part))
+                bare = [_bare(md) if md and starts is None else [] for _, _, starts, md in documents]
+                both, asks = (label_lines([pages for _, pages, _, _ in documents]), label_lines(bare)), []
+                for (_, pages, _, _), b, states, bare_states in zip(documents, bare, *both):
+                    examine(pages, states, asked)
+                    examine(b, bare_states, asked)
+                    asks.append(asked.new)
+                    asked.new = []
+                digits = [pa.array(["".join(str(STATES.index(s)) for s in states) for states in some], pa.string()) for some in both]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "md", "layout")), *digits, pa.array(asks, pa.list_(pa.string()))], names=["id", "md", "layout", "states", "bare_states", "asks"])
+
+    return df.mapInArrow(run, f"id string, md string, layout {LAYOUT}, states string, bare_states string, asks array<string>")
+
+
+def _with_words(df: DataFrame, words: dict[str, int] | DataFrame) -> tuple[DataFrame, Words]:
+    """The rows to go through, and what is known of words: by a dictionary, or by a table (word, n) of any size."""
+    if isinstance(words, dict):
+        return _prepared(df), Words(words)
+    rows = materialize(_labelled(_prepared(df)), "labelled")
+    return rows.drop("asks"), answers(rows.select(F.explode("asks").alias("ask")), words)
 
 
 def _run(df: DataFrame, words: Words, emit, schema: str) -> DataFrame:
+    labelled = "states" in df.columns
+
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                documents = list(_documents(batch.slice(begin, 256)))
+                part = batch.slice(begin, 256)
+                documents = list(_documents(part))
                 bare = [_bare(md) if md and starts is None else [] for _, _, starts, md in documents]
-                states = label_lines([pages for _, pages, _, _ in documents])
-                bare_states = label_lines(bare)
+                if labelled:
+                    states, bare_states = ([[STATES[int(c)] for c in x] for x in part.column(name).to_pylist()] for name in ("states", "bare_states"))
+                else:
+                    states, bare_states = label_lines([pages for _, pages, _, _ in documents]), label_lines(bare)
                 rows = [row for d, s, b, bs in zip(documents, states, bare, bare_states) for row in emit(words, *d, s, b, bs)]
                 columns = list(zip(*rows)) if rows else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32() if "int" in schema else pa.string()))], names=[x.split()[0] for x in schema.split(", ")])
@@ -468,11 +632,11 @@ def _prepared(df: DataFrame) -> DataFrame:
     return df.select(F.col("id"), F.col("md_results").alias("md"), F.transform("layout_details", lambda p: F.transform(p, lambda e: F.struct(e["index"].alias("index"), e["label"].alias("label"), e["content"].alias("content")))).alias("layout"))
 
 
-def noisy_lines(df: DataFrame, words: dict[str, int]) -> DataFrame:
-    """(item_key, noise_kind, line_no) of ``df(id, md_results, layout_details)``."""
-    return _run(_prepared(df), Words(words), _found, "item_key string, noise_kind string, line_no int")
+def noisy_lines(df: DataFrame, words: dict[str, int] | DataFrame) -> DataFrame:
+    """(item_key, noise_kind, line_no) of ``df(id, md_results, layout_details)``, by words and counts."""
+    return _run(*_with_words(df, words), _found, "item_key string, noise_kind string, line_no int")
 
 
-def repaired_texts(df: DataFrame, words: dict[str, int]) -> DataFrame:
+def repaired_texts(df: DataFrame, words: dict[str, int] | DataFrame) -> DataFrame:
     """(item_key, original, repaired) of each md_results that isn't null."""
-    return _run(_prepared(df), Words(words), _repaired, "item_key string, original string, repaired string")
+    return _run(*_with_words(df, words), _repaired, "item_key string, original string, repaired string")

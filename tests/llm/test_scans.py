@@ -52,3 +52,29 @@ def test_vocabulary_counts_all(spark):
     df = spark.createDataFrame([("The pump con-\ntract the pump",), ("the cross-border pump",), (None,)], "t string")
     assert scans.vocabulary(df, "t", 3) == {"the": 3, "pump": 3}
     assert scans.vocabulary(df.where(F.lit(False)), "t") == {}
+
+
+def test_exact_counts_decide(spark):
+    """In 20 million words, what is rare is neither read as unknown nor lost as a true word."""
+    counts = spark.createDataFrame([("the", 20_000_000), ("invoice", 14), ("invoicc", 13), ("contract", 8), ("dredger", 1), ("dre-dger", 2)], "word string, n long")
+    text = "The invoicc of each contracf is late under the con-\ntract of the dre-\ndger."
+    df = spark.createDataFrame([("a", text, None)], "id string, md_results string, layout_details array<array<struct<index:int,label:string,content:string>>>")
+    found = {tuple(r) for r in scans.noisy_lines(df, counts).collect()}
+    assert found == {("m:a", "misread", 1), ("m:a", "hyphen", 1)}
+    assert scans.repaired_texts(df, counts).first().repaired == "The invoicc of each contract is late under the contract of the dre-dger."
+
+
+def test_answers_equal_a_dictionary(spark):
+    counts = COUNTS | {"contracf": 2, "invoicc": 3, "cach": 30, "ill": 5, "pumq": 4, "deliverv": 1}
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    words = ["invoicc", "contracf", "cach", "c0mpany", "c0mpanv", "pumq", "deliverv", "rccords", "clausc", "recorcls", "ill", "oil", "border", "uncler", "zzz"]
+    pairs = [(a, b) for a in ("con", "cross", "inv", "Lentz", "each", "pump", "rcc") for b in ("tract", "border", "oicc", "is", "late", "ords")]
+    asked, plain = scans.Asked(), scans.Words(counts)
+    for w in words:
+        asked.true_word(w)
+    for a, b in pairs:
+        asked.divided(a, b)
+    got = scans.answers(spark.createDataFrame([(x,) for x in asked.new], "ask string"), table)
+    assert {w: got.true_word(w) for w in words} == {w: plain.true_word(w) for w in words} and got.true_word("c0mpanv") is None
+    assert {p: got.divided(*p) for p in pairs} == {p: plain.divided(*p) for p in pairs}
+    assert got.known("ill") and not got.known("oil")
