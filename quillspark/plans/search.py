@@ -22,8 +22,7 @@ def corpus(spark, folder):
 
 def claims(spark, folder):
     some = table(spark, folder, "context_bundles").where("bundle_id % 100 = 0 and claim is not null").select("bundle_id", "document_id", "claim").distinct()
-    plain = F.trim(F.regexp_replace("claim", "[^A-Za-z0-9]+", " "))
-    return some.select(F.col("bundle_id").cast("string").alias("query_id"), F.array_join(F.slice(F.split(plain, " "), 1, 6), " ").alias("query"), "document_id")
+    return some.select(F.col("bundle_id").cast("string").alias("query_id"), F.col("claim").alias("query"), "document_id")
 
 
 def _keyword(how, k=10):
