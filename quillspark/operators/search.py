@@ -133,25 +133,49 @@ def keyword(corpus: DataFrame, queries: DataFrame, k: int = 10, how: str = "lexi
     return best(out, k)
 
 
-def _block_hits(rows: DataFrame, queries: list[tuple[str, str]], k: int, how: str) -> DataFrame:
+def by_side(corpus: DataFrame, queries: DataFrame, k: int = 3, how: str = "baseline", block: int = BLOCK) -> DataFrame:
+    """The k best rows of each query's own document (side l) and the k best of all others (side r).
+
+    ``corpus(id, text, document_id)`` and ``queries(query_id, query, document_id)``; the document
+    is looked at before ranking, so neither side can crowd out the other.
+    """
+    rows = corpus.select(F.col("id").cast("string").alias("id"), "text", "document_id").where("text is not null and text <> ''")
+    out = None
+    for queries_of in _blocks(queries.select(F.col("query_id").cast("string").alias("query_id"), "query", "document_id").where("query is not null"), block):
+        part = _block_hits(rows, queries_of, k, how)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = corpus.sparkSession.createDataFrame([], f"{HIT}, side string")
+    order = Window.partitionBy("query_id", "side").orderBy(F.desc("score"), F.asc("id"))
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _block_hits(rows: DataFrame, queries: list[tuple], k: int, how: str) -> DataFrame:
+    """The k best of each query in each task; of each side of it, where queries have a document too."""
+    sided = bool(queries) and len(queries[0]) > 2
+    schema = f"{HIT}, side string" if sided else HIT
+
     def run(batches):
-        b, scorer = Block(queries), SCORERS[how]
-        kept: dict[int, list] = {}
+        b, scorer = Block([q[:2] for q in queries]), SCORERS[how]
+        kept: dict[tuple[int, str], list] = {}
         for batch in batches:
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            documents = batch.column("document_id").to_pylist() if sided else [None] * batch.num_rows
+            for id_, text, document in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), documents):
                 take, score, tri, n_tri, tok, n_tok, phrase = scorer(b, flat(text))
                 score = np.round(score, 6)
                 for q in np.flatnonzero(take).tolist():
-                    kept.setdefault(q, []).append((-float(score[q]), id_, int(tri[q]), int(n_tri[q]), int(tok[q]), int(n_tok[q]), bool(phrase[q])))
-            for q, found in kept.items():
+                    side = "l" if sided and document is not None and document == queries[q][2] else "r"
+                    kept.setdefault((q, side), []).append((-float(score[q]), id_, int(tri[q]), int(n_tri[q]), int(tok[q]), int(n_tok[q]), bool(phrase[q])))
+            for key, found in kept.items():
                 if len(found) > 4 * k:
-                    kept[q] = sorted(found)[:k]
-        rows_out = [(b.ids[q], f[1], *f[2:], -f[0]) for q, found in kept.items() for f in sorted(found)[:k]]
-        columns = list(zip(*rows_out)) if rows_out else [[] for _ in range(8)]
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in HIT.split(", ")])
+                    kept[key] = sorted(found)[:k]
+        rows_out = [(b.ids[q], f[1], *f[2:], -f[0], side) for (q, side), found in kept.items() for f in sorted(found)[:k]]
+        columns = list(zip(*rows_out)) if rows_out else [[] for _ in range(9)]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.string())
+        names = [x.split()[0] for x in schema.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: len(names)], kinds)], names=names)
 
-    return rows.mapInArrow(run, HIT)
+    return rows.mapInArrow(run, schema)
 
 
 def trigram_index(corpus: DataFrame) -> DataFrame:

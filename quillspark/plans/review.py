@@ -84,10 +84,9 @@ def _compared(mode):
 def claimed(spark, folder):
     claims = PS.claims(spark, folder)
     raw = bundles(spark, folder).select(F.col("bundle_id").cast("string").alias("query_id"), "claim")
-    hits = R.keyword(PS.corpus(spark, folder), claims.select("query_id", "query"), 40, "baseline").select("query_id", "id", "score")
-    rows = hits.join(PS.corpus(spark, folder), "id").join(raw, "query_id").join(claims.select("query_id", F.col("document_id").alias("own")), "query_id")
-    side = F.when(F.col("document_id") == F.col("own"), "l").otherwise("r")
-    return C.compare_claims(rows.select(F.col("query_id").alias("claim_id"), "claim", T.category("claim").alias("category"), side.alias("side"), "id", "text", F.lit(0).alias("page"), "score"))
+    hits = R.by_side(PS.corpus(spark, folder), claims, 3).select("query_id", "id", "side", "score")
+    rows = hits.join(PS.corpus(spark, folder), "id").join(raw, "query_id")
+    return C.compare_claims(rows.select(F.col("query_id").alias("claim_id"), "claim", T.category("claim").alias("category"), "side", "id", "text", F.lit(0).alias("page"), "score"))
 
 
 def versions(spark, folder):

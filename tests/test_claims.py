@@ -44,3 +44,14 @@ def test_whole_claims_are_searched(spark, folder, how):
         scores = {i: round(brute(how, claim, t), 6) for i, t in texts.items()}
         assert hits == {i: pytest.approx(scores[i], abs=2e-6) for i in hits} and len(hits) == 10 if q == "100" else hits
         assert sorted(hits.values()) == pytest.approx(sorted(scores.values())[-len(hits) :], abs=2e-6)
+
+
+def test_own_document_is_not_crowded_out(spark, folder):
+    """Sixty copies of the claim stand in other documents; its own document gives its best three all the same."""
+    hits = search.R.by_side(search.corpus(spark, folder), search.claims(spark, folder), 3).where("query_id = '100'").collect()
+    assert [h.id for h in sorted(hits, key=lambda h: (h.side, h["rank"]))] == ["a", "b", "z00", "z01", "z02"]
+    texts = {r.id: (r.document_id, r.text) for r in search.corpus(spark, folder).collect() if r.text}
+    assert {h.id: h.score for h in hits} == {h.id: pytest.approx(brute("baseline", CLAIM, texts[h.id][1]), abs=2e-6) for h in hits}
+    row = review.claimed(spark, folder).where("claim_id = '100'").first()
+    assert row.left_id == "a" and row.right_id == "z00"
+    assert search.R.by_side(search.corpus(spark, folder), search.claims(spark, folder).where("false")).count() == 0
