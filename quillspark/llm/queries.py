@@ -89,7 +89,7 @@ def p5_unified_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return unify.with_unified(table(spark, folder, "evidence_units").select("evidence_id", "content"), "content").select("evidence_id", "unified").distinct()
 
 
-#: Classes of exact copies up to this size come out as all their pairs, larger ones as pairs with their first member.
+#: Classes are paired in blocks of about so many ids, so that no task has all of a large class.
 COPIES = 64
 
 
@@ -100,15 +100,21 @@ def _p6(spark: SparkSession, folder: str):
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of evidence units with a similarity of at least 0.6."""
-    members, links = _p6(spark, folder)
-    sizes = members.groupBy("form").agg(F.count("*").alias("size"), F.min("key").alias("head"))
+    return p6_pairs(*_p6(spark, folder))
+
+
+def p6_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(left_id, right_id): all pairs within the classes of ``members(key, form)`` and between those of ``links(form_a, form_b)``."""
+    sizes = members.groupBy("form").agg(F.count("*").alias("size")).where("size > 1")
     a, b = (members.select(F.col("form").alias(f"form_{x}"), F.col("key").alias(x)) for x in "ab")
     between = links.select("form_a", "form_b").join(a, "form_a").join(b, "form_b").select("a", "b")
-    copies = members.join(sizes.where("size > 1"), "form")
-    some = copies.where(F.col("size") <= COPIES).select("form", "key")
-    within = some.select("form", F.col("key").alias("a")).join(some.select("form", F.col("key").alias("b")), "form").where("a < b").select("a", "b")
-    star = copies.where((F.col("size") > COPIES) & (F.col("key") != F.col("head"))).select(F.col("head").alias("a"), F.col("key").alias("b"))
-    pairs = between.unionByName(within).unionByName(star).where("a <> b")
+    blocks = F.ceil(F.col("size") / COPIES).cast("long")
+    # each id goes, from either side, to the pairs of its own block with every block
+    copies = members.join(sizes, "form").withColumn("own", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    left = copies.select("form", F.col("own").alias("block_a"), F.col("other").alias("block_b"), F.col("key").alias("a"))
+    right = copies.select("form", F.col("other").alias("block_a"), F.col("own").alias("block_b"), F.col("key").alias("b"))
+    within = left.join(right, ["form", "block_a", "block_b"]).where("a < b").select("a", "b")
+    pairs = between.unionByName(within).where("a <> b")
     return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).distinct()
 
 

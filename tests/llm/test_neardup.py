@@ -74,3 +74,17 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, t string")
     members, links = N.near_copies(df, "id", "t")
     assert members.count() == 0 and links.count() == 0
+
+
+def test_large_classes_come_out_as_all_pairs(spark):
+    """A class of 150 ids in three writings, one of 64, and one of 65."""
+    from quillspark.llm import queries
+
+    base = " ".join(WORDS[:40])
+    texts = [base, base.upper() + ".", base.replace(" ", "\n")]
+    rows = [(f"a{k:03}", texts[k % 3]) for k in range(150)]
+    rows += [(f"b{k:03}", " ".join(WORDS[100:140])) for k in range(64)] + [(f"c{k:03}", " ".join(WORDS[200:240])) for k in range(65)]
+    df = spark.createDataFrame(rows + rows[:9], "id string, t string")
+    got = [tuple(r) for r in queries.p6_pairs(*N.near_copies(df, "id", "t", 0.6, 24)).collect()]
+    want = {(x, y) for (x, _), (y, _) in itertools.combinations(rows, 2) if x[0] == y[0]}
+    assert set(got) == want and len(got) == len(want) == 15271
