@@ -46,16 +46,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("piece_no > 0").select("item_kind", "item_key").distinct()
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every mention of an e-mail address, telephone number, identity number, address or name."""
+def p2_items(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, row_key, text): evidence contents and the texts of scans."""
     units = table(spark, folder, "evidence_units").select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("row_key"), F.col("content").alias("text"))
     scans = table(spark, folder, "ocr_responses").select(F.lit("ocr").alias("src"), F.col("id").alias("row_key"), F.col("md_results").alias("text"))
-    return pii.mentions(units.unionByName(scans), "text").select("src", "row_key", "entity_type", "start_pos").distinct()
+    return units.unionByName(scans)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mention of an e-mail address, telephone number, identity number, address or name."""
+    return pii.mentions(p2_items(spark, folder), "text").select("src", "row_key", "entity_type", "start_pos").distinct()
 
 
 def p2_redacted_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence contents with typed placeholders for personal information."""
-    return pii.with_placeholders(table(spark, folder, "evidence_units").select("evidence_id", "content"), "content").select("evidence_id", "redacted").distinct()
+    """Evidence contents and md_results with typed placeholders for personal information."""
+    return pii.with_placeholders(p2_items(spark, folder), "text").select("src", "row_key", "redacted").distinct()
 
 
 def _scans(spark: SparkSession, folder: str):
@@ -69,7 +74,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
-    """Every md_results as continuous paragraphs."""
+    """Every md_results, and the content of every layout element, as continuous paragraphs."""
     return scans.repaired_texts(*_scans(spark, folder)).select("item_key", "repaired").distinct()
 
 
@@ -85,8 +90,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_unified_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Every evidence unit with its content in the consistent form."""
-    return unify.with_unified(table(spark, folder, "evidence_units").select("evidence_id", "content"), "content").select("evidence_id", "unified").distinct()
+    """Every evidence unit and layout element with its content in the consistent form."""
+    return unify.with_unified(p5_items(spark, folder).select("item_key", "content"), "content").select("item_key", "unified").distinct()
 
 
 #: Classes are paired in blocks of about so many ids, so that no task has all of a large class.

@@ -79,6 +79,9 @@ class Page:
     """Lines of a page: (element, line in it, text, whether the element is running text)."""
 
     def __init__(self, elements: list[tuple[int, str, bool]]):
+        self.contents: dict[int, str] = {}
+        for e, content, _ in elements:
+            self.contents[e] = f"{self.contents[e]}\n{content}" if e in self.contents else content
         self.lines = [(e, j, line.rstrip("\r"), text) for e, content, text in elements for j, line in enumerate(content.split("\n"))]
 
 
@@ -390,8 +393,11 @@ _END = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*$")
 _BEGIN = re.compile(r"\s*([^\W_]+)")
 
 
-def examine(pages: list[Page], states: list[str], words: Words):
-    """(kinds, paragraphs): the noise of each line of running text, and the repaired paragraphs as (element of first line, text)."""
+def examine(pages: list[Page], states: list[str], words: Words, within: bool = False):
+    """(kinds, paragraphs): the noise of each line of running text, and the repaired paragraphs as (element of first line, text).
+
+    With ``within``, a paragraph ends with its element, but for the rest of a word divided there.
+    """
     lines = [(n, e, j, line) for n, page in enumerate(pages) for e, j, line, text in page.lines if text]
     kinds: list[list[str]] = [[] for _ in lines]
     body = [k for k, s in enumerate(states) if s in ("body", "break") and lines[k][3].strip()]
@@ -433,6 +439,11 @@ def examine(pages: list[Page], states: list[str], words: Words):
             if fixed:
                 kinds[k].append("misread")
             out.append(fixed or chunk)
+        if within and paragraphs and paragraphs[-1][0] != (n, e):
+            if k in into and len(chunks[0]) > len(joins[into[k]][2]):
+                paragraphs[-1] = (paragraphs[-1][0], paragraphs[-1][1] + out.pop(0))
+            paragraphs.append(((n, e), " ".join(out)))
+            continue
         text = " ".join(out)
         if k in into and paragraphs:
             glue = "" if len(_BEGIN.match(line)[0].strip()) < len(chunks[0]) else " "
@@ -618,14 +629,23 @@ def _found(words, id_, pages, starts, md, states, bare, bare_states):
                 yield f"m:{id_}", kind, line + j
 
 
-def _repaired(words, id_, pages, starts, md, states, bare, bare_states):
-    if md is None:
-        return
-    use, labels = (pages, states) if starts is not None else (bare, bare_states)
-    paragraphs = examine(use, labels, words)[1]
-    others = [((n, e), content) for n, page in enumerate(use) for e, content in {e: "\n".join(x for f, _, x, t in page.lines if f == e and not t) for e, _, _, t in page.lines if not t}.items()]
+def _whole(pages: list[Page], paragraphs: list) -> list[tuple[tuple[int, int], str]]:
+    """(page and element, text) of repaired paragraphs and of what isn't running text, in order."""
+    others = [((n, e), content) for n, page in enumerate(pages) for e, content in {e: "\n".join(x for f, _, x, t in page.lines if f == e and not t) for e, _, _, t in page.lines if not t}.items()]
     merged = sorted([(at, 0, text) for at, text in paragraphs] + [(at, 1, text) for at, text in others], key=lambda x: x[0])
-    yield f"m:{id_}", md, "\n\n".join(text for _, _, text in merged if text.strip())
+    return [(at, text) for at, _, text in merged if text.strip()]
+
+
+def _repaired(words, id_, pages, starts, md, states, bare, bare_states):
+    own: dict[tuple[int, int], list[str]] = {}
+    for at, text in _whole(pages, examine(pages, states, words, within=True)[1]):
+        own.setdefault(at, []).append(text)
+    for n, page in enumerate(pages):
+        for e, content in page.contents.items():
+            yield f"l:{id_}:p{n + 1}:e{e}", content, "\n\n".join(own.get((n, e), []))
+    if md is not None:
+        use, labels = (pages, states) if starts is not None else (bare, bare_states)
+        yield f"m:{id_}", md, "\n\n".join(text for _, text in _whole(use, examine(use, labels, words)[1]))
 
 
 def _prepared(df: DataFrame) -> DataFrame:
@@ -638,5 +658,5 @@ def noisy_lines(df: DataFrame, words: dict[str, int] | DataFrame) -> DataFrame:
 
 
 def repaired_texts(df: DataFrame, words: dict[str, int] | DataFrame) -> DataFrame:
-    """(item_key, original, repaired) of each md_results that isn't null."""
+    """(item_key, original, repaired) of each md_results and content of a layout element that isn't null."""
     return _run(*_with_words(df, words), _repaired, "item_key string, original string, repaired string")

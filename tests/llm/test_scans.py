@@ -78,3 +78,14 @@ def test_answers_equal_a_dictionary(spark):
     assert {w: got.true_word(w) for w in words} == {w: plain.true_word(w) for w in words} and got.true_word("c0mpanv") is None
     assert {p: got.divided(*p) for p in pairs} == {p: plain.divided(*p) for p in pairs}
     assert got.known("ill") and not got.known("oil")
+
+
+def test_layout_elements_are_repaired(spark):
+    df = documents(spark)
+    df = df.unionByName(df.where("id = 'a'").limit(1).withColumn("id", F.lit("e")).withColumn("md_results", F.lit(None).cast("string")))
+    rows = {r.item_key: (r.original, r.repaired) for r in scans.repaired_texts(df, COUNTS).collect()}
+    for i in "ae":
+        assert rows[f"l:{i}:p1:e1"] == ("The invoicc records each con-", "The invoice records each contract.")
+        assert rows[f"l:{i}:p2:e1"][1] == "Each pump is late under the clause." and rows[f"l:{i}:p3:e1"][1] == "The delivery is late."
+        assert rows[f"l:{i}:p2:e0"][1] == rows[f"l:{i}:p3:e2"][1] == "" and f"l:{i}:p2:e3" not in rows
+    assert "m:e" not in rows and "m:a" in rows
