@@ -142,6 +142,6 @@ def uri_parts(c: str | Column) -> Column:
     return F.struct(F.when(problem.isNull(), bucket).alias("bucket"), F.when(problem.isNull(), key).alias("key"), problem.alias("problem"))
 
 
-def data_url(content: Column, mime: Column, most: int) -> Column:
+def data_url(content: Column, mime: Column, most: int | Column) -> Column:
     """The content as a data address, null where it is larger than ``most`` bytes."""
     return F.when(F.octet_length(content) <= most, F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content.cast("binary")), "[\r\n]", "")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest as I
+from ..sources import files
 from ..sources.tables import table
 from . import sql as S
 
@@ -95,7 +96,7 @@ QUERIES = {
     "snk_delete_cascade": deleted,
     "snk_delete_predicate": by_predicate,
     "src_addresses": addresses,
-    "src_data_urls": lambda s, f: table(s, f, "parsed_pages").select("document_id", "page_number", I.data_url(F.col("text"), I.mime_type("filename"), 1500).alias("url")),
+    "src_data_urls": lambda s, f: table(s, f, "parsed_pages").select("document_id", "page_number", files.limited_url(F.col("text"), I.mime_type("filename")).alias("url")),
     "src_documents": listing,
     "src_contents": contents,
     "src_latest_runs": lambda s, f: _ocr(s, f).select("id", "document_id", "created").distinct().orderBy(F.desc("created"), F.desc("id")).limit(25),

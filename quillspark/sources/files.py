@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
@@ -34,13 +34,22 @@ def write_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def largest(mime: Column) -> Column:
+    """The largest size of a file of its kind, in bytes."""
+    return F.when(F.startswith(mime, F.lit("image/")), F.lit(LARGEST["image"])).otherwise(F.lit(LARGEST["pdf"]))
+
+
+def limited_url(content: Column, mime: Column) -> Column:
+    """The content as a data address, null where it is over the limit of its kind."""
+    return I.data_url(content, mime, largest(mime))
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """(filename, mime, bytes, content) of files; those over the limit of their kind are left out."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(name.alias("filename"), I.mime_type(name).alias("mime"), F.col("length").alias("bytes"), "content")
-    most = F.when(F.startswith("mime", F.lit("image/")), F.lit(LARGEST["image"])).otherwise(F.lit(LARGEST["pdf"]))
-    return rows.where(F.col("bytes") <= most)
+    return rows.where(F.col("bytes") <= largest(F.col("mime")))
 
 
 def save_index(postings: DataFrame, path: str, name: str) -> None:
