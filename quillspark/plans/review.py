@@ -131,6 +131,8 @@ def _hits(spark, folder, how):
 
 
 STRATEGIES = ["baseline", "lexical", "rg"]
+#: Questions of a pack have at most so many characters, as in the reference.
+LONGEST = 8192
 
 
 def by_strategy(spark, folder):
@@ -188,8 +190,8 @@ QUERIES = {
     "evl_labels_by_source": lambda s, f: E.labelled(language_labels(s, f).withColumn("source", F.lower("source")), "gold", "predicted", "source"),
     "evl_tokens": lambda s, f: table(s, f, "ocr_responses").select("id", E.total_tokens(F.col("token_usage.total_tokens"), F.col("token_usage.prompt_tokens"), F.col("token_usage.completion_tokens")).alias("tokens")),
     "evl_usage": lambda s, f: table(s, f, "ocr_responses").groupBy(F.lower("model").alias("model")).agg(F.count("*").alias("runs"), F.sum("token_usage.prompt_tokens").alias("prompt"), F.sum("token_usage.completion_tokens").alias("completion"), F.count_if(F.col("md_results").isNull()).alias("failed")),
-    "evl_question_samples": lambda s, f: E.question_pack(bundles(s, f), F.col("claim"), "bundle_id", F.col("snippets"), 160)[0],
-    "evl_question_corpus": lambda s, f: E.question_pack(bundles(s, f), F.col("claim"), "bundle_id", F.col("snippets"), 160)[1],
+    "evl_question_samples": lambda s, f: E.question_pack(bundles(s, f), F.col("claim"), "bundle_id", F.col("snippets"), LONGEST)[0],
+    "evl_question_corpus": lambda s, f: E.question_pack(bundles(s, f), F.col("claim"), "bundle_id", F.col("snippets"), LONGEST)[1],
     "evl_two_contexts": lambda s, f: E.two_contexts(bundles(s, f).withColumn("first", F.get("snippets", F.lit(0))).withColumn("second", F.get("snippets", F.lit(1))), "bundle_id", "first", "second"),
     "evl_judged_pairs": lambda s, f: E.judged_pairs(table(s, f, "normalized_facts").select(F.col("document_id").alias("query_id"), F.col("evidence_id").alias("id"), F.col("confidence").alias("relevance")).distinct(), bundles(s, f).groupBy("document_id").agg(F.min("claim").alias("query")).withColumnRenamed("document_id", "query_id"), PS.corpus(s, f)),
     "evl_first_rows": lambda s, f: E.first_rows(bundles(s, f).select("bundle_id", "document_id").distinct(), 20, "bundle_id"),
