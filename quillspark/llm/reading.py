@@ -64,6 +64,12 @@ def language(words: list[str]) -> str:
     return "fr" if sum(w in FUNCTION["fr"] for w in words) > en else "en"
 
 
+def window_starts(n: int, window: int) -> list[int]:
+    """Where windows over ``n`` words begin: every half window, and where the last one ends with the words."""
+    last = max(0, n - window)
+    return sorted({*range(0, last + 1, window // 2), last})
+
+
 def features(text: str, rarity: dict[str, float], rarest: float) -> tuple[str, list[float]]:
     """(language, features) of a text."""
     parts = sentences(text) or [text]
@@ -74,7 +80,7 @@ def features(text: str, rarity: dict[str, float], rarest: float) -> tuple[str, l
     lengths = np.array([len(ws) for ws in lists], float)
     letters = np.array([len(w) for w in content], float)
     window = 60
-    spans = [words[i : i + window] for i in range(0, max(1, len(words) - window + 1), window // 2)]
+    spans = [words[i : i + window] for i in window_starts(len(words), window)]
     diversity = float(np.mean([len(set(s)) / len(s) for s in spans]))
     rare = np.array([rarity.get(w, rarest) for w in content])
     links = sum(w in CONNECTIVES[lang] for w in words) / len(words)

@@ -39,3 +39,9 @@ def test_table(spark):
     assert R.with_level(df.where("false"), "t", g).count() == 0
     share, rarest = R.rarities(df.select("t"), "t")
     assert rarest > 0 and all(v >= 0 for v in share.values()) and R.rarities(df.where("false"), "t")[0] == {}
+
+
+def test_windows_reach_the_last_word():
+    assert [R.window_starts(n, 60) for n in (0, 59, 60, 61, 90, 100)] == [[0], [0], [0], [0, 1], [0, 30], [0, 30, 40]]
+    same = "word " * 90
+    assert R.features(same + "word " * 10, {}, 12.0)[1][5] < R.features(same + "ab cd ef gh ij kl mn op qr st", {}, 12.0)[1][5]
