@@ -1,13 +1,16 @@
 """Filling containers of fixed capacity with items (problem 8).
 
-Karmarkar-Karp differencing over many ways: every item begins as a partial partition with one
-filled window; the two with the largest imbalance are merged so that the fullest windows of
-one meet the emptiest of the other, until one partition is left, whose windows are nearly
-equal. A window over the capacity gives up its smallest item that is enough; such items fill
-the room of other windows, and for what is left over the number of windows rises by another
-differencing of it. Items beside which nothing fits keep a window to themselves from the
-start. At last the emptiest windows are dissolved where others have room for their items, or
-pooled and differenced again, as long as that saves windows.
+Karmarkar-Karp differencing over many ways: runs of items, largest first, begin as partial
+partitions with a window for each item; the two with the largest imbalance are merged so that
+the fullest windows of one meet the emptiest of the other, until one partition is left, whose
+windows are nearly equal. Its number of windows begins at what the items need at least and
+rises whenever the capacity is exceeded.
+
+Where only a few items fit into a window, nearly equal isn't near enough to leave no room. So
+before the number of windows rises, fewer items are differenced, the largest ones, and the
+smaller ones then go where they fit best; in the end only items of over half the capacity are
+differenced, which have a window each. Thus there are never more windows than by best fit of
+all items, largest first.
 
 Items are spread over blocks by a hash, each block of about ``block`` items packed in one
 task, so no block grows with the data. An item over the capacity, and no other, is split: into
@@ -28,158 +31,123 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048
-#: Times that pooling the emptiest windows may save none before it ends.
-ROUNDS = 12
+#: Shares of the items that are differenced at a number of windows, one after another.
+SHARES = (1.0, 0.8, 0.6, 0.4, 0.2, 0.0)
+#: Times that the number of windows rises at most between the least and that of best fit.
+RISES = 8
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[list[int]]]:
     """(loads, members) of ``k`` windows by multiway differencing of positive ``sizes``."""
-    left: list[int] = []
-    right: list[int] = []  # inner nodes of the trees of merged windows, numbered after the items
-    n = len(sizes)
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []  # inner nodes of the trees of merged windows, numbered after the items
+    n, nodes = len(sizes), len(sizes)
     order = np.argsort(-sizes, kind="stable")
     # a partial partition: its filled windows, fullest first, and the trees of what is in them
-    parts = {i: (sizes[i : i + 1], np.array([i])) for i in range(n)}
-    heap = [(-(int(sizes[i]) if k > 1 else 0), t, i) for t, i in enumerate(order.tolist())]
+    run = max(1, k // 8)
+    parts = {t: (sizes[order[i : i + run]], order[i : i + run]) for t, i in enumerate(range(0, n, run))}
+
+    def imbalance(loads: np.ndarray) -> int:
+        return int(loads[0]) - (int(loads[-1]) if len(loads) == k else 0)
+
+    heap = [(-imbalance(loads), t) for t, (loads, _) in parts.items()]
     heapq.heapify(heap)
-    stamp = n
+    stamp = len(heap)
     while len(heap) > 1:
-        _, _, x = heapq.heappop(heap)
-        _, _, y = heapq.heappop(heap)
-        (a, ta), (b, tb) = parts.pop(x), parts.pop(y)
-        if len(a) < len(b):
-            a, ta, b, tb = b, tb, a, ta
-        shared = max(0, len(a) + len(b) - k)
-        if shared:
-            # the emptiest windows of one meet the fullest of the other
-            mixed = a[len(a) - shared :] + b[:shared][::-1] if len(b) >= shared else None
-            nodes = np.arange(n + len(left), n + len(left) + shared)
-            left += ta[len(ta) - shared :].tolist()
-            right += tb[:shared][::-1].tolist()
-            loads = np.concatenate([a[: len(a) - shared], mixed, b[shared:]])
-            trees = np.concatenate([ta[: len(ta) - shared], nodes, tb[shared:]])
-        else:
-            loads, trees = np.concatenate([a, b]), np.concatenate([ta, tb])
+        a, b = (parts.pop(heapq.heappop(heap)[1]) for _ in range(2))
+        if len(a[0]) < len(b[0]):
+            a, b = b, a
+        shared = max(0, len(a[0]) + len(b[0]) - k)
+        keep = len(a[0]) - shared
+        loads, trees = np.concatenate([a[0], b[0][shared:]]), np.concatenate([a[1], b[1][shared:]])
+        if shared:  # the emptiest windows of one meet the fullest of the other
+            loads[keep : keep + shared] += b[0][:shared][::-1]
+            left.append(a[1][keep:])
+            right.append(b[1][:shared][::-1])
+            trees[keep : keep + shared] = np.arange(nodes, nodes + shared)
+            nodes += shared
         sort = np.argsort(-loads, kind="stable")
-        loads, trees = loads[sort], trees[sort]
-        parts[x] = (loads, trees)
-        least = int(loads[-1]) if len(loads) == k else 0
-        heapq.heappush(heap, (-(int(loads[0]) - least), stamp, x))
+        parts[stamp] = (loads[sort], trees[sort])
+        heapq.heappush(heap, (-imbalance(parts[stamp][0]), stamp))
         stamp += 1
-    loads, trees = next(iter(parts.values())) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    members = []
-    for root in trees.tolist():
-        stack, items = [root], []
-        while stack:
-            node = stack.pop()
-            if node < n:
-                items.append(node)
-            else:
-                stack += [left[node - n], right[node - n]]
-        members.append(items)
+    if not parts:
+        return np.zeros(0, np.int64), []
+    loads, trees = next(iter(parts.values()))
+    # the window of each tree goes down to its items, the last merged first
+    window = np.full(nodes, -1)
+    window[trees] = np.arange(len(trees))
+    top = nodes
+    for a, b in zip(reversed(left), reversed(right)):
+        of = window[top - len(a) : top]
+        window[a], window[b] = of, of
+        top -= len(a)
+    members: list[list[int]] = [[] for _ in range(len(trees))]
+    for i, w in enumerate(window[:n].tolist()):
+        members[w].append(i)
     return loads, members
 
 
-def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Windows, as lists of item numbers, for items of up to ``capacity``; items of size zero join the first."""
-    empty = np.flatnonzero(sizes == 0).tolist()
-    some = np.flatnonzero(sizes > 0)
-    least = int(sizes[some].min()) if len(some) else 0
-    alone = some[sizes[some] > capacity - least] if len(some) > 1 else some
-    rest = np.setdiff1d(some, alone)
-    windows: list[list[int]] = [[i] for i in alone.tolist()]
-    windows = _closed(_filled(windows, rest, sizes, capacity), sizes, capacity)
-    # the emptiest windows are pooled and differenced again, as long as that saves some
-    share, idle = 0.6, 0
-    while len(windows) > 2 and idle < ROUNDS:
-        windows.sort(key=lambda w: -int(sizes[w].sum()))
-        if len(windows) * capacity - int(sizes[some].sum()) < capacity:
-            break  # no window can be saved
-        firm = int(len(windows) * (1 - share))
-        pool = np.array([i for w in windows[firm:] for i in w], np.int64)
-        tried = _closed(_filled(windows[:firm], pool, sizes, capacity), sizes, capacity)
-        idle = 0 if len(tried) < len(windows) else idle + 1
-        windows = tried if len(tried) < len(windows) else windows
-        share = 0.15 + 0.8 * (share * 7.3 % 1)
-    if empty:
-        if windows:
-            windows[0] += empty
+def best_fit(rooms: list[int], sizes: list[int], capacity: int = 0) -> tuple[list[int], list[int]]:
+    """(window of each of ``sizes``, rooms left): each goes into the window it fits best.
+
+    ``sizes`` are in falling order. Where there is no room the window is -1 or, with a
+    ``capacity``, a new one.
+    """
+    free = sorted((room, k) for k, room in enumerate(rooms))
+    out, count = [], len(rooms)
+    for size in sizes:
+        at = bisect.bisect_left(free, (size, -1))
+        if at < len(free):
+            room, k = free.pop(at)
+        elif capacity:
+            room, k = capacity, count
+            count += 1
         else:
-            windows = [empty]
-    return windows
-
-
-def _filled(windows: list[list[int]], rest: np.ndarray, sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Given windows and new ones for the items ``rest``, by differencing until all are in."""
-    windows = [list(w) for w in windows]
-    while len(rest):
-        s = sizes[rest]
-        # items of over half the capacity need a window each
-        k = max(math.ceil(s.sum() / capacity), int((s * 2 > capacity).sum()))
-        _, members = difference(s, k)
-        kept, evicted = _relieved([rest[m].tolist() for m in members if m], sizes, capacity)
-        windows += kept
-        if len(evicted) == len(rest):
-            return windows + [[i] for i in evicted]
-        rest = np.array(_settled(windows, evicted, sizes, capacity), np.int64)
-    return windows
-
-
-def _relieved(windows: list[list[int]], sizes: np.ndarray, capacity: int) -> tuple[list[list[int]], list[int]]:
-    """Windows within the capacity, and the items that were taken from those over it: the smallest that is enough, else the largest."""
-    out: list[int] = []
-    for w in windows:
-        load = int(sizes[w].sum())
-        w.sort(key=lambda i: int(sizes[i]))
-        while load > capacity:
-            at = next((k for k, i in enumerate(w) if sizes[i] >= load - capacity), len(w) - 1)
-            load -= int(sizes[w[at]])
-            out.append(w.pop(at))
-    return [w for w in windows if w], out
-
-
-def _settled(windows: list[list[int]], items: list[int], sizes: np.ndarray, capacity: int) -> list[int]:
-    """Put items, largest first, into the window they fit best; returns those that fit in none."""
-    room = sorted((capacity - int(sizes[w].sum()), k) for k, w in enumerate(windows))
-    out = []
-    for i in sorted(items, key=lambda i: -int(sizes[i])):
-        at = bisect.bisect_left(room, (int(sizes[i]), -1))
-        if at == len(room):
-            out.append(i)
+            out.append(-1)
             continue
-        free, k = room.pop(at)
-        windows[k].append(i)
-        bisect.insort(room, (free - int(sizes[i]), k))
-    return out
-
-
-def _closed(windows: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Windows after the emptiest ones gave their items to others that have room for them."""
-    loads = [int(sizes[w].sum()) for w in windows]
-    order = sorted(range(len(windows)), key=lambda i: loads[i])
-    room = sorted((capacity - load, i) for i, load in enumerate(loads))
-    gone: set[int] = set()
-    for i in order:
-        moves, taken = [], list(room)
-        mine = (capacity - loads[i], i)
-        at = bisect.bisect_left(taken, mine)
-        taken.pop(at)
-        for item in sorted(windows[i], key=lambda x: -int(sizes[x])):
-            at = bisect.bisect_left(taken, (int(sizes[item]), -1))
-            if at == len(taken):
-                moves = None
-                break
-            free, j = taken.pop(at)
-            bisect.insort(taken, (free - int(sizes[item]), j))
-            moves.append((item, j))
-        if moves is None:
-            continue
-        for item, j in moves:
-            windows[j].append(item)
-            loads[j] += int(sizes[item])
-        gone.add(i)
-        room = taken
-    return [w for i, w in enumerate(windows) if i not in gone]
+        out.append(k)
+        if room > size:
+            bisect.insort(free, (room - size, k))
+    left = [0] * count
+    for room, k in free:
+        left[k] = room
+    return out, left
+
+
+def pack(sizes: np.ndarray, capacity: int) -> tuple[list[list[int]], float]:
+    """(windows, share): windows as lists of item numbers, for items of up to ``capacity``, and the share of the items that was differenced.
+
+    Items of size zero join the first window.
+    """
+    empty = np.flatnonzero(sizes == 0).tolist()
+    some = np.flatnonzero(sizes > 0)
+    some = some[np.argsort(-sizes[some], kind="stable")]
+    if not len(some):
+        return [empty] if empty else [], 1.0
+    windows, share = _packed(sizes[some], capacity)
+    windows = [some[w].tolist() for w in windows]
+    windows[0] += empty
+    return windows, share
+
+
+def _packed(s: np.ndarray, capacity: int) -> tuple[list[list[int]], float]:
+    """The same for positive sizes in falling order."""
+    n, big = len(s), int((s * 2 > capacity).sum())
+    least = max(math.ceil(int(s.sum()) / capacity), big)
+    most = max(best_fit([], s.tolist(), capacity)[0]) + 1
+    step = max(1, math.ceil((most - least) / RISES))
+    for k in [*range(least, most, step), most]:
+        for m in sorted({max(big, int(share * n)) for share in SHARES}, reverse=True):
+            loads, members = difference(s[:m], k)
+            if m and loads[0] > capacity:
+                continue
+            members += [[] for _ in range(k - len(members))]
+            place, _ = best_fit([capacity - int(s[w].sum()) for w in members], s[m:].tolist())
+            if -1 not in place:
+                for i, w in enumerate(place, m):
+                    members[w].append(i)
+                return [w for w in members if w], m / n
+    raise AssertionError("best fit fits")
 
 
 def with_containers(items: DataFrame, key: str, size: str, capacity: str, kind: str, block: int = BLOCK) -> DataFrame:
@@ -201,7 +169,7 @@ def with_containers(items: DataFrame, key: str, size: str, capacity: str, kind:
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("size", "descending"), ("key", "ascending"), ("part", "ascending")])
-        windows = pack(group.column("size").to_numpy(), int(group.column("capacity")[0].as_py()))
+        windows, _ = pack(group.column("size").to_numpy(), int(group.column("capacity")[0].as_py()))
         take = [i for w in windows for i in w]
         names = [f"b{group.column('block')[0].as_py()}-{k}" for k, w in enumerate(windows) for _ in w]
         out = group.select(["kind", "key", "part", "begin", "size"]).take(pa.array(take, pa.int64()))

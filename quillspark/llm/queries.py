@@ -167,7 +167,7 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 def _graded(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     anchors = table(spark, folder, "reading_anchors").select("text", "level").where("text is not null and level is not null").orderBy("anchor_id")
-    grader = reading.Grader(*reading.rarities(documents, "text")).fit([(r["text"], r["level"]) for r in anchors.collect()])
+    grader = reading.Grader(reading.rarities(documents, "text")).fit([(r["text"], r["level"]) for r in anchors.collect()])
     return reading.with_level(documents, "text", grader)
 
 

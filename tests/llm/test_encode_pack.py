@@ -29,20 +29,53 @@ def test_agrees_with_the_other_library():
             assert t.encode(text, add_special_tokens=False).ids == encode.encoder().encode_ordinary(text)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 50), max_size=60))
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=80))
 def test_windows_hold_all_items(sizes):
     s = np.array(sizes, np.int64)
-    windows = pack.pack(s, 50)
+    windows, _ = pack.pack(s, 50)
     assert sorted(i for w in windows for i in w) == list(range(len(s)))
     assert all(s[w].sum() <= 50 for w in windows)
 
 
-def test_windows_are_well_filled():
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=70), st.integers(1, 20))
+def test_differencing_keeps_items_and_loads(sizes, k):
+    s = np.array(sizes, np.int64)
+    loads, members = pack.difference(s, k)
+    assert sorted(i for w in members for i in w) == list(range(len(s))) and len(members) <= k
+    assert [int(s[w].sum()) for w in members] == loads.tolist() == sorted(loads.tolist(), reverse=True)
+
+
+def _best_fit_falling(sizes, capacity):
+    rooms = []
+    for x in sorted((int(x) for x in sizes if x), reverse=True):
+        fits = [r for r in rooms if r >= x]
+        if fits:
+            rooms[rooms.index(min(fits))] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("capacity", [512, 2048, 8192])
+def test_never_more_windows_than_best_fit(capacity):
+    r = np.random.default_rng(capacity)
+    for sizes in (r.lognormal(5.6, 1.1, 700), r.uniform(0, capacity, 500), np.full(300, capacity // 3 + 1), np.full(200, capacity)):
+        s = np.minimum(sizes.astype(np.int64), capacity)
+        windows, share = pack.pack(s, capacity)
+        assert len(windows) <= _best_fit_falling(s, capacity) and 0 <= share <= 1
+        assert max(s[w].sum() for w in windows) <= capacity
+
+
+def test_windows_are_nearly_equal_where_many_items_fit():
     r = np.random.default_rng(0)
     s = np.minimum(r.lognormal(5.4, 0.9, 2000).astype(np.int64) + 1, 2047)
-    assert s.sum() / (len(pack.pack(s, 2048)) * 2048) > 0.97
+    windows, share = pack.pack(s, 8192)
+    loads = [int(s[w].sum()) for w in windows]
+    assert share > 0.5 and len(windows) == -(-int(s.sum()) // 8192) and max(loads) - min(loads) < 8192
     assert pack.difference(np.array([8, 7, 6, 5, 4]), 2)[0].tolist() == [16, 14]
+    assert pack.pack(np.array([], np.int64), 5) == ([], 1.0) and pack.pack(np.array([0, 0]), 5)[0] == [[0, 1]]
 
 
 def test_containers(spark):
