@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .text import KEYWORDS, WS, col, normalized
+from .text import KEYWORDS, SPACE, col, contains_any, first_sentence_with, normalized, spaced, trimmed
 
 # Patterns of dates, amounts and references in evidence.
 PLAIN_DATE = r"\b(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"
@@ -17,15 +13,14 @@ NUMBER = r"(?i)(?:USD|EUR|MAD|€|\$)?\s*(\d{1,3}(?:[ ,._]\d{3})*(?:[.,]\d{2})?|
 CODE = r"(?i)\b(?:REF|DOC|REV|ID)[-_:/]?[A-Z0-9-]{2,}\b"
 # Patterns of facts that documents are compared by.
 MONEY = r"(?i)\b\d[\d\s.,]*(?:€|eur|usd|\$|mad)\b"
-_MONTHS = "janvier|février|fevrier|mars|avril|mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre|january|february|march|april|may|june|july|august|september|october|november|december"
-DATE = rf"(?i)\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}[/-]\d{{2}}[/-]\d{{2}}|\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}})\b"
+DATE = r"(?i)\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{2}[/-]\d{2}|\d{1,2}\s+(?:janvier|février|fevrier|mars|avril|mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre|january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{4})\b"
 DURATION = r"(?i)\b\d{1,3}\s+(?:day|days|jour|jours|month|months|mois|year|years|an|ans)\b"
 REFERENCE = r"(?i)\b(?:ref(?:erence)?|référence|version|revision)\s*[:#-]?\s*[A-Z0-9][A-Z0-9._/-]*\b"
 MODAL = r"(?i)\b(?:shall|must|will|may not|cannot|doit|devra|ne peut pas)\b"
 
 
 def _all(c, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(pattern), group)
+    return F.regexp_extract_all(col(c), F.lit(spaced(pattern).replace("(?i)", "(?iu)")), group)
 
 
 def _bounded(c: str | Column) -> Column:
@@ -76,7 +71,7 @@ def fields(c: str | Column) -> Column:
 
 def money(c: str | Column) -> Column:
     """Amounts with a currency behind them, as (raw, normalized)."""
-    return F.transform(_all(c, MONEY), lambda x: F.struct(F.trim(x).alias("raw"), F.regexp_replace(F.regexp_replace(F.lower(x), rf"[{WS}]+", ""), ",", ".").alias("normalized")))
+    return F.transform(_all(c, MONEY), lambda x: F.struct(F.trim(x).alias("raw"), F.regexp_replace(F.regexp_replace(F.lower(x), rf"(?U)[{SPACE}]+", ""), ",", ".").alias("normalized")))
 
 
 def _plain(c, pattern: str) -> Column:
@@ -93,71 +88,68 @@ def durations(c: str | Column) -> Column:
 
 
 def references(c: str | Column) -> Column:
-    return _plain(_bounded(c), REFERENCE)
+    return _plain(_bounded(c), REFERENCE.replace("A-Z0-9", "A-Z0-9\u212a\u017f"))
 
 
-FACT = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType() if n == "confidence" else T.StringType()) for n in ("field_type", "raw_value", "normalized_value", "category", "confidence")]))
-_RE = {name: re.compile(pattern.replace("(?i)", ""), re.I) for name, pattern in (("amount", MONEY), ("date", DATE), ("duration", DURATION), ("reference", REFERENCE), ("modal", MODAL))}
-_CHUNK = re.compile(r"(?<=[.;:])\s+|\n+")
+#: Facts of a text. The types are in the order of their bits in `type_bits`.
+FACT = "array<struct<field_type:string,raw_value:string,normalized_value:string,category:string,confidence:double>>"
+TYPES = ("amount", "date", "duration", "reference", "jurisdiction", "confidentiality", "termination_clause", "liability_clause", "clause_text")
+#: Facts of these types are of use for any category.
+ALWAYS = ("amount", "date", "duration")
+# Fixed values: (type, how it is found, category where the text hits that group, category else, confidence).
+VALUES = (("amount", money, "payment", "liability", 1.0), ("date", written_dates, "effective_date", "effective_date", 1.0), ("duration", durations, "termination", "general", 0.9), ("reference", references, "reference", "reference", 0.8))
+# Fixed values: (type, category whose keywords make a sentence one, confidence, whether only without other facts of the category).
+SENTENCES = (("jurisdiction", "governing_law", 0.75, False), ("confidentiality", "confidentiality", 0.7, False), ("termination_clause", "termination", 0.65, True), ("liability_clause", "liability", 0.65, True))
 
 
-def _flat(s: str) -> str:
-    return " ".join(s.lower().split())
+def _fact(kind: str, raw: Column, norm: Column, category: Column, confidence: float) -> Column:
+    return F.struct(F.lit(kind).alias("field_type"), raw.alias("raw_value"), norm.alias("normalized_value"), category.alias("category"), F.lit(confidence).alias("confidence"))
 
 
-def _chunk_with(text: str, words: tuple[str, ...]) -> str:
-    chunks = [x.strip() for x in _CHUNK.split(text) if x.strip()]
-    for x in chunks:
-        if any(w in _flat(x) for w in words):
-            return x[:240]
-    return (chunks[0] if chunks else text.strip())[:240]
+def _firsts(found: Column) -> Column:
+    """Of (raw, normalized) values the first of each normalized one."""
+    keys = F.transform(found, lambda x: x["normalized"])
+    return F.filter(found, lambda x, i: F.array_position(keys, x["normalized"]) == i + 1)
 
 
-def facts_of(text: str | None, wanted: str | None = None) -> list[tuple]:
-    """(field_type, raw, normalized, category, confidence) of each fact of a text, each once.
+def with_facts(df: DataFrame, text: str, out: str = "facts", wanted: str | Column | None = None) -> DataFrame:
+    """``df`` with the facts of ``text`` as an array, each fact once; null texts have none.
 
-    With ``wanted``, facts of other categories are left out, but for amounts, dates and
-    durations. What one rule finds decides whether a later, vaguer one applies.
+    With ``wanted``, facts of other categories are left out, but for those in ALWAYS. A sentence
+    stands for a category that has no value of its own; a text with an obligation and no other
+    fact gives its first sentence.
     """
-    text = text or ""
-    flat = _flat(text)
-    out: dict[tuple, tuple] = {}
-    hits = {name: any(w in flat for w in words) for name, words in KEYWORDS.items()}
-
-    def found(kind: str, raw: str, value: str, category: str, confidence: float) -> None:
-        passes = wanted in (None, "", "general", category) or kind in ("amount", "date", "duration")
-        if raw and value and passes:
-            out.setdefault((kind, value, category), (kind, raw.strip(), value, category, confidence))
-
-    for m in _RE["amount"].finditer(text):
-        found("amount", m[0].strip(), "".join(m[0].lower().split()).replace(",", "."), "payment" if hits["payment"] else "liability", 1.0)
-    for kind, category, confidence in (("date", "effective_date", 1.0), ("duration", "termination" if hits["termination"] else "general", 0.9), ("reference", "reference", 0.8)):
-        for m in _RE[kind].finditer(text):
-            found(kind, m[0].strip(), _flat(m[0]), category, confidence)
-    for kind, category, confidence, vague in (("jurisdiction", "governing_law", 0.75, False), ("confidentiality", "confidentiality", 0.7, False), ("termination_clause", "termination", 0.65, True), ("liability_clause", "liability", 0.65, True)):
-        if hits[category] and not (vague and any(f[3] == category for f in out.values())):
-            sentence = _chunk_with(text, KEYWORDS[category])
-            found(kind, sentence, _flat(sentence), category, confidence)
-    if not out and _RE["modal"].search(text):
-        sentence = _chunk_with(text, ())
-        found("clause_text", sentence, _flat(sentence), wanted or "general", 0.5)
-    return list(out.values())
-
-
-def with_facts(df: DataFrame, text: str, out: str = "facts") -> DataFrame:
-    """``df`` with the facts of ``text`` as an array; null texts have none."""
-    base = df.drop(out)
-    kept = [f"c{i}" for i in range(len(base.columns))]
-    which = kept[base.columns.index(text)]
-    source = base.toDF(*kept)
-    schema = T.StructType([*source.schema.fields, T.StructField("facts", FACT)])
-    keys = [f.name for f in FACT.elementType.fields]
-    kind = pa.list_(pa.struct([(k, pa.float64() if k == "confidence" else pa.string()) for k in keys]))
-    names = schema.names
-
-    def run(batches):
-        for batch in batches:
-            got = [[dict(zip(keys, f)) for f in facts_of(t)] for t in batch.column(which).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=names)
-
-    return source.mapInArrow(run, schema).toDF(*base.columns, out)
+    none = F.array().cast(FACT)
+    asked = F.coalesce(wanted if isinstance(wanted, Column) else F.lit(wanted), F.lit(""))
+    passes = lambda kind, category: F.lit(kind in ALWAYS) | asked.isin("", "general") | (category == asked)
+    rows = df.drop(out).withColumn("_text", F.coalesce(col(text), F.lit(""))).withColumn("_flat", normalized("_text"))
+    rows = rows.withColumns({f"_hit_{name}": contains_any(F.col("_flat"), words) for name, words in KEYWORDS.items()})
+    rows = rows.withColumns({f"_all_{kind}": find("_text") for kind, find, *_ in VALUES})
+    made = []
+    for kind, _, hit, other, confidence in VALUES:
+        category = F.when(F.col(f"_hit_{hit}"), F.lit(hit)).otherwise(F.lit(other))
+        facts = F.transform(_firsts(F.col(f"_all_{kind}")), lambda x: _fact(kind, x["raw"], x["normalized"], category, confidence))  # noqa: B023
+        made.append(F.filter(facts, lambda f: (f["normalized_value"] != "") & passes(kind, f["category"])))  # noqa: B023
+    rows = rows.withColumn("_values", F.concat(*made))
+    said = []
+    for kind, category, confidence, alone in SENTENCES:
+        sentence = first_sentence_with("_text", KEYWORDS[category])
+        taken = F.exists("_values", lambda f: f["category"] == category) if alone else F.lit(False)  # noqa: B023
+        fact = F.array(_fact(kind, trimmed(sentence), normalized(sentence), F.lit(category), confidence))
+        said.append(F.when(F.col(f"_hit_{category}") & ~taken & passes(kind, F.lit(category)), fact).otherwise(none))
+    rows = rows.withColumn(out, F.concat("_values", *said))
+    first = first_sentence_with("_text", ())
+    clause = F.array(_fact("clause_text", trimmed(first), normalized(first), F.when(asked == "", F.lit("general")).otherwise(asked), 0.5))
+    rows = rows.withColumn(out, F.when((F.size(out) == 0) & F.col("_text").rlike(MODAL), clause).otherwise(F.col(out)).cast(FACT))
+    return rows.select(*df.drop(out).columns, out)
+
+
+def type_bits(facts: Column) -> Column:
+    """The types of facts as bits of a number."""
+    return F.aggregate(facts, F.lit(0), lambda a, f: a.bitwiseOR(F.coalesce(F.create_map(*[F.lit(x) for k, t in enumerate(TYPES) for x in (t, 1 << k)])[f["field_type"]], F.lit(0))))
+
+
+def selected(facts: Column, category: Column) -> Column:
+    """The facts of a category; all of them where it has none, or is general."""
+    own = F.filter(facts, lambda f: f["category"] == category)
+    return F.when((category == "general") | (F.size(own) == 0), facts).otherwise(own)

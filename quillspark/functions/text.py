@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: White space of Unicode as a character class, without the brackets, for Java expressions.
 WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+#: The same as a string of all those characters.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+#: The same as one Java class, which is quicker to match than many ranges; only for expressions that have no other sign of a class.
+SPACE = r"\s\x1c-\x1f"
 # Keyword groups in their order of precedence; keywords match anywhere in a text.
 KEYWORDS = {
     "liability": ("liability", "responsabil", "cap", "limitation of liability", "plafond"),
@@ -24,18 +28,30 @@ KEYWORDS = {
 STRIPPED = ".,;:!?()[]{}\"'"
 
 
+def spaced(pattern: str, space: str = WS) -> str:
+    """``pattern`` with its white-space sign standing for all that is white space in Unicode, also within character classes."""
+    out, inside, k = "", False, 0
+    while k < len(pattern):
+        sign = pattern[k : k + 2] if pattern[k] == "\\" else pattern[k]
+        inside = inside or sign == "["
+        inside = inside and sign != "]"
+        out += sign if sign != r"\s" else space if inside else f"[{space}]"
+        k += len(sign)
+    return out
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def trimmed(c: str | Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(col(c), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def normalized(c: str | Column) -> Column:
     """Lower case, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(col(c)), rf"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(col(c)), rf"(?U)[{SPACE}]+", " "))
 
 
 def trigrams(c: str | Column) -> Column:
@@ -53,7 +69,7 @@ def tokens(c: str | Column) -> Column:
 
 def pieces(c: str | Column) -> Column:
     """Runs without white space."""
-    return F.regexp_extract_all(col(c), F.lit(rf"[^{WS}]+"), 0)
+    return F.regexp_extract_all(col(c), F.lit(rf"(?U)[^{SPACE}]+"), 0)
 
 
 def clause_tokens(c: str | Column) -> Column:
@@ -76,13 +92,13 @@ def _kept(parts: Column) -> Column:
 
 def paragraphs(c: str | Column) -> Column:
     """Parts between blank lines, trimmed, without empty ones; the whole text if there is none."""
-    parts = _kept(F.split(col(c), rf"\n[{WS}]*\n"))
+    parts = _kept(F.split(col(c), rf"(?U)\n[{SPACE}]*\n"))
     return F.when(col(c).isNull(), F.lit(None)).when(F.size(parts) > 0, parts).otherwise(F.array(col(c)))
 
 
 def sentences(c: str | Column) -> Column:
     """Parts after . ! ? ; : and white space, or at line ends; trimmed, without empty ones."""
-    return _kept(F.split(col(c), rf"(?<=[.!?;:])[{WS}]+|\n+"))
+    return _kept(F.split(col(c), rf"(?U)(?<=[.!?;:])[{SPACE}]+|\n+"))
 
 
 def contains_any(text: Column, words) -> Column:
@@ -94,9 +110,11 @@ def contains_any(text: Column, words) -> Column:
 
 def first_sentence_with(c: str | Column, words) -> Column:
     """The first chunk after . ; : or a line end that has one of ``words``, else the first; cut to 240."""
-    chunks = _kept(F.split(col(c), rf"(?<=[.;:])[{WS}]+|\n+"))
-    fitting = F.filter(chunks, lambda x: contains_any(normalized(x), words))
-    chosen = F.coalesce(F.get(fitting, F.lit(0)), F.get(chunks, F.lit(0)), trimmed(c))
+    chunks = _kept(F.split(col(c), rf"(?U)(?<=[.;:])[{SPACE}]+|\n+"))
+    # a chunk is normalised once, whatever the number of words
+    flat = F.transform(chunks, lambda x: F.struct(x.alias("chunk"), normalized(x).alias("flat")))
+    fitting = F.get(F.filter(flat, lambda x: contains_any(x["flat"], words)), F.lit(0))["chunk"] if words else F.lit(None).cast("string")
+    chosen = F.coalesce(fitting, F.get(chunks, F.lit(0)), trimmed(c))
     return F.left(chosen, F.lit(240))
 
 
@@ -117,7 +135,7 @@ def section_hint(c: str | Column) -> Column:
 
 def shortened(c: str | Column, limit: int) -> Column:
     """White space collapsed; cut to ``limit`` with an ellipsis if longer."""
-    flat = F.trim(F.regexp_replace(col(c), rf"[{WS}]+", " "))
+    flat = F.trim(F.regexp_replace(col(c), rf"(?U)[{SPACE}]+", " "))
     return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(limit - 1))), F.lit("…")))
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import extract as X
 from ..functions import text as T
-from .diff import ratio
+from .diff import with_likeness
 
 # Words that negate, weights of conflicts, and what to do by severity.
 NEGATIONS = ("not", "no", "never", "none", "without", "aucun", "pas")
@@ -85,32 +83,50 @@ def conflicts(df: DataFrame, claim: str = "claim", evidence: str = "evidence") -
     return out.withColumn("conflicts", F.filter(kinds, lambda k: k.isNotNull()))
 
 
-@F.pandas_udf(DoubleType())
-def junk_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two texts as the clause check measures it, popular characters of long texts left out."""
-    return pd.Series([None if x is None or y is None else ratio(x, y, True) for x, y in zip(a, b)], dtype="float64")
-
-
 def clause_conflicts(df: DataFrame, claim: str = "claim", evidence: str = "evidence") -> DataFrame:
-    """``df`` with ``clause_similarity`` and ``clause_conflict``: alike texts of which one negates otherwise."""
-    like = junk_ratio(F.lower(claim), F.lower(evidence))
+    """``df`` with ``clause_similarity`` and ``clause_conflict``: alike texts of which one negates otherwise.
+
+    Texts that negate alike can be no conflict, so only the others are aligned; the similarity of those is null.
+    """
     differ = F.size(F.array_except(negations(F.col(claim)), negations(F.col(evidence)))) + F.size(F.array_except(negations(F.col(evidence)), negations(F.col(claim)))) > 0
-    return df.withColumn("clause_similarity", like).withColumn("clause_conflict", F.coalesce((F.col("clause_similarity") > 0.35) & differ, F.lit(False)))
+    sides = df.withColumns({"_a": F.when(differ, F.lower(claim)), "_b": F.when(differ, F.lower(evidence))})
+    like = with_likeness(sides, "_a", "_b", junk=True, out="clause_similarity").drop("_a", "_b")
+    return like.withColumn("clause_conflict", F.coalesce(F.col("clause_similarity") > 0.35, F.lit(False)))
+
 
+def evidence(claims: DataFrame) -> DataFrame:
+    """``claims(claim, snippets, ...)`` with the parts of their evidence: the first eight snippets as one text, the first as the section. Null claims are left out."""
+    rows = claims.where("claim is not null").withColumn("parts", F.filter(F.coalesce("snippets", F.array().cast("array<string>")), lambda s: s.isNotNull() & (T.trimmed(s) != "")))
+    return rows.withColumn("evidence", F.array_join(F.slice("parts", 1, 8), "\n")).withColumn("section", F.coalesce(F.get("parts", F.lit(0)), F.lit("")))
 
-def detect(claims: DataFrame) -> DataFrame:
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Severity, advice, verdict, context and its compression for rows with ``conflicts``, ``parts`` and ``max_chars``."""
+    kept = packed(F.col("claim"), F.slice("parts", 1, 3), F.col("max_chars"))
+    full = rows.withColumn("severity", severity(F.col("conflicts"))).withColumn("context", context(F.col("claim"), kept, F.col("max_chars")))
+    raw = F.char_length(F.concat(F.col("claim"), F.array_join(kept, "")))
+    full = full.withColumn("compression_ratio", F.round(T.compression_ratio(raw, F.char_length("context")), 4)).withColumn("advice", advice(F.col("severity")))
+    return full.withColumn("verdict", F.when(F.size("conflicts") > 0, "inconsistent").otherwise("consistent")).withColumn("conflict_types", F.array_join("conflicts", ", "))
+
+
+def detect(claims: DataFrame, alike: bool = True) -> DataFrame:
     """All checks on claims(claim_id, document_id, claim, snippets, max_chars): conflicts, severity, context and its compression.
 
-    The evidence is the first eight snippets; the section is the first. Null claims are left out.
+    Null claims are left out. Without ``alike`` the checks that align texts are left out: the clause conflict and whether the section changed.
     """
-    rows = claims.where("claim is not null").withColumn("_parts", F.filter(F.coalesce("snippets", F.array().cast("array<string>")), lambda s: s.isNotNull() & (T.trimmed(s) != "")))
-    rows = rows.withColumn("evidence", F.array_join(F.slice("_parts", 1, 8), "\n")).withColumn("section", F.coalesce(F.get("_parts", F.lit(0)), F.lit("")))
-    checked = clause_conflicts(conflicts(rows)).withColumn("section_changed", junk_ratio(F.lower("claim"), F.lower("section")) < 0.75)
-    kinds = F.when(F.col("clause_conflict"), F.concat("conflicts", F.array(F.lit("clause_conflict")))).otherwise(F.col("conflicts"))
-    kept = packed(F.col("claim"), F.slice("_parts", 1, 3), F.col("max_chars"))
-    full = checked.withColumn("conflicts", kinds).withColumn("severity", severity(F.col("conflicts"))).withColumn("context", context(F.col("claim"), kept, F.col("max_chars")))
-    raw = F.char_length(F.concat(F.col("claim"), F.array_join(kept, "")))
-    return full.withColumn("compression_ratio", F.round(T.compression_ratio(raw, F.char_length("context")), 4)).withColumn("advice", advice(F.col("severity"))).withColumn("verdict", F.when(F.size("conflicts") > 0, "inconsistent").otherwise("consistent")).drop("_parts")
+    rows = conflicts(evidence(claims))
+    if alike:
+        rows = clause_conflicts(rows)
+        rows = rows.withColumn("conflicts", F.when(F.col("clause_conflict"), F.concat("conflicts", F.array(F.lit("clause_conflict")))).otherwise(F.col("conflicts")))
+        rows = with_likeness(rows.withColumns({"_a": F.lower("claim"), "_b": F.lower("section")}), "_a", "_b", junk=True, out="_like").drop("_a", "_b")
+        rows = rows.withColumn("section_changed", F.col("_like") < 0.75).drop("_like")
+    return judged(rows).drop("parts")
+
+
+def escalated(results: DataFrame) -> DataFrame:
+    """The results a judge is asked about, those of high and critical severity, with what they fall back to if it fails: the local verdict, unsure."""
+    rows = results.where(F.col("severity").isin("high", "critical"))
+    return rows.withColumn("fallback", F.struct(F.col("verdict").alias("verdict"), F.lit("local_rules").alias("decided_by"), F.lit(True).alias("needs_review")))
 
 
 def by_document(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import ingest as I
 from ..operators import search as R
-from ..operators.diff import changed_words, classify, word_diff
+from ..operators.diff import changed_words, classify, with_ops
 from ..sources.tables import table
 from . import search as PS
 from . import sql as S
@@ -95,12 +95,8 @@ def versions(spark, folder):
     w = Window.partitionBy("document_id").orderBy("created", "id")
     two = runs.withColumn("before", F.lag("md_results").over(w)).where("before is not null").select("id", "before", F.col("md_results").alias("after"))
 
-    def run(it):
-        for pdf in it:
-            ops = [word_diff(a, b) for a, b in zip(pdf.before, pdf.after)]
-            yield pdf[["id"]].assign(steps=[len(o) for o in ops], changed=[changed_words(o) for o in ops], kind=[classify(a, b, o) for a, b, o in zip(pdf.before, pdf.after, ops)])
-
-    return two.mapInPandas(run, "id string, steps int, changed int, kind string")
+    stepped = with_ops(two, "before", "after")
+    return stepped.select("id", F.size("ops").alias("steps"), changed_words(F.col("ops")).alias("changed"), classify(F.col("before"), F.col("after"), F.col("ops")).alias("kind"))
 
 
 def page_band(spark, folder):

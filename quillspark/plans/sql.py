@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import KEYWORDS
+from ..functions.text import KEYWORDS, spaced
 
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -20,7 +20,7 @@ def normalized(x: str) -> str:
 
 
 def every(x: str, pattern: str, group: int = 0) -> str:
-    return f"regexp_extract_all({x}, {quoted(pattern)}, {group})"
+    return f"regexp_extract_all({x}, {quoted(spaced(pattern, WS))}, {group})"
 
 
 def pieces(x: str) -> str:
