@@ -28,9 +28,36 @@ class Plan:
     alternatives: list[frozenset[str]] | None = field(default=None)
 
     def java(self) -> str:
-        """The pattern with its flags for the JVM."""
+        """The pattern with its flags for the JVM, where its classes and word boundaries mean all of Unicode as well."""
         letters = "".join(k for k, v in FLAGS.items() if self.flags & v)
-        return f"(?{letters}u)" * bool(letters) + self.pattern if letters else self.pattern
+        return f"(?U{letters})" + (for_java(self.pattern) or "a^")
+
+
+_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<(\w+)>|\(\?P=(\w+)\)|\(\?\(|.", re.S)
+
+
+def for_java(pattern: str) -> str | None:
+    """``pattern`` as the JVM writes it: named groups, the end of the text; None if it holds what the JVM can't do."""
+    out, names = "", {}
+    for m in _TOKEN.finditer(pattern):
+        sign = m[0]
+        if m[1]:
+            names[m[1]] = f"g{len(names) + 1}"
+            sign = f"(?<{names[m[1]]}>"
+        elif m[2]:
+            if m[2] not in names:
+                return None
+            sign = rf"\k<{names[m[2]]}>"
+        elif sign == "(?(":
+            return None
+        elif sign == r"\Z":
+            sign = r"\z"
+        elif sign[0] == "[" and len(sign) > 1:  # signs that mean something else within the JVM's classes
+            inner = sign[1:-1]
+            sign = "[" + re.sub(r"\\.|(?<!^)\[|^\[|&&", lambda x: x[0] if x[0][0] == "\\" else "".join("\\" + c for c in x[0]), inner) + "]"
+            sign = re.sub(r"^\[(\^?)\]", r"[\1\\]", sign)
+        out += sign
+    return out
 
 
 def parse(query: str) -> tuple[bool, str, int]:
@@ -60,6 +87,8 @@ def plan(query: str, alternatives: int = 64, each: int = 32) -> Plan:
         tree = P.parse(pattern, flags)
     except (re.error, RecursionError, OverflowError):
         return Plan(pattern, True, flags, valid=False)
+    if for_java(pattern) is None:
+        return Plan(pattern, True, flags, valid=False)
     if tree.state.flags & re.X:
         return Plan(pattern, True, flags)
 

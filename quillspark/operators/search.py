@@ -1,19 +1,16 @@
 """Search over evidence: keyword scores, regular expressions, vectors, and their fusion.
 
-Queries come as a table. Keyword and vector search hold a block of queries against all rows:
-the block is turned into matrices once, every task scores its rows with them and keeps the
-best of each query, so what is shuffled is a few rows per task and query. Blocks are of a
-fixed size and follow one another, however many queries there are. Regular expressions go
-through the index first.
+Queries come as a table. Keyword search meets them with the texts on their terms: the tokens
+and three-character sequences of a text, as an index holds them, are joined with those of the
+queries, counted by query and text, and scored; what is shuffled are counts. A phrase is looked
+for only in texts that have all its sequences. Regular expressions go through the index first.
+Nothing is iterated over on the driver, and the plan is the same for any number of queries.
 
 Ties are settled by id. Null and empty texts are no hits; a blank query has no hits.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,161 +18,108 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
+from ..session import materialize
 from . import planner
 
-#: Queries that are held against all rows at once.
+#: Vectors of queries that are held against all rows at once.
 BLOCK = 2048
-HIT = "query_id string, id string, trigram_hits int, trigrams int, token_hits int, tokens int, phrase boolean, score double"
+STRATEGIES = ("baseline", "lexical", "rg", "semantic", "hybrid")
 
 
 def flat(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def _trigrams(text: str) -> set[str]:
-    return {text[i : i + 3] for i in range(len(text) - 2)} if len(text) >= 3 else {text} - {""}
-
-
-_TOKEN = re.compile("[a-z0-9]+")
-
-
-class Block:
-    """Queries as matrices over their own trigrams and tokens."""
-
-    def __init__(self, queries: list[tuple[str, str]]):
-        self.ids = [q for q, _ in queries]
-        self.texts = [flat(t) for _, t in queries]
-        tri = [sorted(_trigrams(t)) for t in self.texts]
-        tok = [_TOKEN.findall(t) for t in self.texts]
-        self.tri = {t: k for k, t in enumerate(sorted({t for ts in tri for t in ts}))}
-        self.tok = {t: k for k, t in enumerate(sorted({t for ts in tok for t in ts}))}
-        self.tri_matrix = np.zeros((len(self.tri) + 1, len(queries)), np.int32)
-        self.tok_matrix = np.zeros((len(self.tok) + 1, len(queries)), np.int32)
-        for k, (a, b) in enumerate(zip(tri, tok)):
-            for t in a:
-                self.tri_matrix[self.tri[t], k] = 1
-            for t in b:  # a token that a query repeats counts as often
-                self.tok_matrix[self.tok[t], k] += 1
-        self.n_tri = np.array([len(a) for a in tri])
-        self.n_tok = np.array([len(b) for b in tok])
-        self.n_set = np.array([len(set(b)) for b in tok])
-
-    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per query: shared trigrams, shared tokens as often as the query has them and once each, and whether it stands in the text."""
-        own = _trigrams(text)
-        tri = self.tri_matrix[[self.tri[t] for t in own if t in self.tri]].sum(0)
-        rows = self.tok_matrix[[self.tok[t] for t in set(_TOKEN.findall(text)) if t in self.tok]]
-        phrase = np.zeros(len(self.ids), bool)
-        for k in np.flatnonzero((tri == self.n_tri) & (self.n_tri > 0)):
-            phrase[k] = self.texts[k] in text
-        for k in np.flatnonzero(self.n_tri == 1):
-            phrase[k] = phrase[k] or (len(self.texts[k]) < 3 and self.texts[k] in text)
-        return tri, rows.sum(0), (rows > 0).sum(0), phrase
-
-    def within(self, text: str) -> np.ndarray:
-        """Per query: its tokens, repeats counted, that stand in the text, inside words too."""
-        return self.tok_matrix[[k for t, k in self.tok.items() if t in text]].sum(0)
-
-
-def _lexical(b: Block, text: str):
-    tri, tok, _, phrase = b.hits(text)
-    score = 0.55 * (tri / np.maximum(b.n_tri, 1)) + 0.35 * (tok / np.maximum(b.n_tok, 1)) + 0.10 * phrase
-    return ((tri == b.n_tri) | (tok > 0)) & (b.n_tri > 0), score, tri, b.n_tri, tok, b.n_tok, phrase
-
+def best(hits: DataFrame, k: int, *by: str) -> DataFrame:
+    """The k best of each query, with their rank; ties by id. The limit is applied before the shuffle too."""
+    order = Window.partitionBy(*(by or ("query_id",))).orderBy(F.desc("score"), F.asc("id"))
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-def _baseline(b: Block, text: str):
-    tri, _, tok, phrase = b.hits(text)
-    score = 0.8 * (tok / np.maximum(b.n_set, 1)) + 0.2 * phrase
-    return (score > 0) & (b.n_tri > 0), score, tri, b.n_tri, tok, b.n_set, phrase
 
+def _flat_rows(df: DataFrame, key: str, text: str, within: tuple[str, ...]) -> DataFrame:
+    flat_text = T.normalized(text)
+    return df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias(key), *within, flat_text.alias("flat")).where("flat <> ''")
 
-def _scan(b: Block, text: str):
-    tok = b.within(text)
-    zero = np.zeros(len(b.ids), np.int64)
-    return tok > 0, tok / np.maximum(b.n_tok, 1), zero, b.n_tri, tok, b.n_tok, zero > 0
 
+def terms(flat_text: str = "flat") -> Column:
+    """The different terms of a text in normal form: its sequences of three characters, and its tokens behind a tab."""
+    return F.concat(T.trigrams(flat_text), F.transform(F.array_distinct(T.tokens(flat_text)), lambda t: F.concat(F.lit("\t"), t)))
 
-SCORERS = {"lexical": _lexical, "baseline": _baseline, "rg": _scan}
 
+def counted(corpus: DataFrame, queries: DataFrame, *within: str) -> DataFrame:
+    """(query_id, *within, id, tri, n_tri, tok, n_tok, same, n_set, phrase) of each query and text that share a term.
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
-    """The queries in blocks of a fixed size, one after another; the driver holds one block."""
-    block: list = []
-    for row in queries.orderBy(*queries.columns[:1]).toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def best(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
-    """The k best of each query, with their rank; ties by id."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("id"))
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def keyword(corpus: DataFrame, queries: DataFrame, k: int = 10, how: str = "lexical", block: int = BLOCK) -> DataFrame:
-    """The k best rows of ``corpus(id, text)`` for each of ``queries(query_id, query)``, scored by ``how``.
-
-    lexical: shares of trigrams, tokens and the phrase, of rows that have all trigrams or any
-    token; baseline: share of different tokens and the phrase; rg: share of tokens that stand in
-    the text, inside words too.
+    ``corpus(id, text)`` and ``queries(query_id, query)``. Shared sequences, shared tokens as often
+    as the query has them and once each, and whether the query stands in the text. ``within`` are
+    columns of both that must be equal, as the document: texts of others are never met.
     """
-    rows = corpus.select(F.col("id").cast("string").alias("id"), "text").where("text is not null and text <> ''")
-    out = None
-    for queries_of in _blocks(queries.select(F.col("query_id").cast("string").alias("query_id"), "query").where("query is not null"), block):
-        part = _block_hits(rows, queries_of, k, how)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return best(corpus.sparkSession.createDataFrame([], HIT), k)
-    return best(out, k)
+    rows, asked = _flat_rows(corpus, "id", "text", within), _flat_rows(queries, "query_id", "query", within).distinct()
+    side = ["query_id", *within]
+    words = T.tokens("flat")
+    sizes = asked.select(*side, "flat", F.size(T.trigrams("flat")).alias("n_tri"), F.size(words).alias("n_tok"), F.size(F.array_distinct(words)).alias("n_set"))
+    tri = asked.select(*side, F.explode(T.trigrams("flat")).alias("term"), F.lit(1).alias("weight"))
+    tok = asked.select(*side, F.explode(words).alias("word")).groupBy(*side, "word").agg(F.count("*").cast("int").alias("weight"))
+    wanted = tri.unionByName(tok.select(*side, F.concat(F.lit("\t"), "word").alias("term"), "weight"))
+    held = rows.select("id", *within, F.explode(terms()).alias("term"))
+    token = F.startswith("term", F.lit("\t"))
+    counts = held.join(wanted, ["term", *within]).groupBy(*side, "id").agg(F.count_if(~token).cast("int").alias("tri"), F.coalesce(F.sum(F.when(token, F.col("weight"))), F.lit(0)).cast("int").alias("tok"), F.count_if(token).cast("int").alias("same"))
+    hits = counts.join(sizes, side)
+    # texts with all sequences of the query, few as they are, are looked through; a query that is too short for one goes by tokens
+    whole = hits.where((F.col("tri") == F.col("n_tri")) | ((F.char_length("flat") < 3) & (F.col("same") > 0))).select(*side, "id", F.col("flat").alias("_q"))
+    phrases = whole.join(rows.select("id", *within, F.col("flat").alias("_d")), ["id", *within]).where(F.contains("_d", F.col("_q"))).select(*side, "id", F.lit(True).alias("phrase"))
+    out = hits.drop("flat").join(phrases, [*side, "id"], "left")
+    return out.withColumn("phrase", F.coalesce("phrase", F.lit(False)))
+
+
+def contained(corpus: DataFrame, queries: DataFrame, *within: str) -> DataFrame:
+    """(query_id, *within, id, tok, n_tok) of each query and text in which some tokens of the query stand, inside words too; repeats in the query count.
+
+    A token stands in a text if it stands in one of its words. So the different words of the corpus
+    are searched once, by the first characters of a token, and then the texts of those words found.
+    """
+    rows, asked = _flat_rows(corpus, "id", "text", within), _flat_rows(queries, "query_id", "query", within).distinct()
+    side = ["query_id", *within]
+    sizes = asked.select(*side, F.size(T.tokens("flat")).alias("n_tok"))
+    tok = asked.select(*side, F.explode(T.tokens("flat")).alias("token")).groupBy(*side, "token").agg(F.count("*").cast("int").alias("weight"))
+    words = rows.select("id", *within, F.explode(F.array_distinct(T.tokens("flat"))).alias("word"))
+    starts = [F.regexp_extract_all("word", F.lit(f"(?=(.{{{n}}}))"), 1) for n in (1, 2, 3)]
+    grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*starts))).alias("gram"))
+    inside = tok.select("token").distinct().withColumn("gram", F.left("token", F.lit(3))).join(grams, "gram").where(F.contains("word", F.col("token"))).select("token", "word").distinct()
+    wanted = tok.join(inside, "token")
+    found = words.join(wanted, ["word", *within]).select(*side, "id", "token", "weight").distinct()
+    return found.groupBy(*side, "id").agg(F.sum("weight").cast("int").alias("tok")).join(sizes, side)
+
+
+def scored(counts: DataFrame, how: str) -> DataFrame:
+    """``counts`` of `counted`, or for rg of `contained`, with ``token_hits``, ``tokens`` and ``score``; texts that are no candidates are left out.
+
+    lexical: shares of sequences, tokens and the phrase, of texts that have all sequences or any
+    token; baseline: share of different tokens and the phrase; rg: share of tokens in the text.
+    """
+    if how == "rg":
+        return counts.withColumn("token_hits", F.col("tok")).withColumn("tokens", F.col("n_tok")).withColumn("score", F.round(F.col("tok") / F.col("n_tok"), 6))
+    phrase = F.col("phrase").cast("int")
+    if how == "baseline":
+        rows, hits, of = counts.where((F.col("same") > 0) | F.col("phrase")), "same", "n_set"
+        score = F.lit(0.8) * F.coalesce(F.col("same") / F.nullif("n_set", F.lit(0)), F.lit(0.0)) + F.lit(0.2) * phrase
+    else:
+        rows, hits, of = counts.where((F.col("tri") == F.col("n_tri")) | (F.col("tok") > 0)), "tok", "n_tok"
+        score = F.lit(0.55) * (F.col("tri") / F.col("n_tri")) + F.lit(0.35) * F.coalesce(F.col("tok") / F.nullif("n_tok", F.lit(0)), F.lit(0.0)) + F.lit(0.10) * phrase
+    return rows.withColumn("token_hits", F.col(hits)).withColumn("tokens", F.col(of)).withColumn("score", F.round(score, 6))
 
 
-def by_side(corpus: DataFrame, queries: DataFrame, k: int = 3, how: str = "baseline", block: int = BLOCK) -> DataFrame:
-    """The k best rows of each query's own document (side l) and the k best of all others (side r).
+def keyword(corpus: DataFrame, queries: DataFrame, k: int = 10, how: str = "lexical", *within: str) -> DataFrame:
+    """The k best texts of ``corpus(id, text)`` for each of ``queries(query_id, query)`` by a way of `scored`, with equal ``within`` columns.
 
-    ``corpus(id, text, document_id)`` and ``queries(query_id, query, document_id)``; the document
-    is looked at before ranking, so neither side can crowd out the other.
+    A query shorter than three characters has no sequence but itself; it meets texts that have a token of it.
     """
-    rows = corpus.select(F.col("id").cast("string").alias("id"), "text", "document_id").where("text is not null and text <> ''")
-    out = None
-    for queries_of in _blocks(queries.select(F.col("query_id").cast("string").alias("query_id"), "query", "document_id").where("query is not null"), block):
-        part = _block_hits(rows, queries_of, k, how)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = corpus.sparkSession.createDataFrame([], f"{HIT}, side string")
-    order = Window.partitionBy("query_id", "side").orderBy(F.desc("score"), F.asc("id"))
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    counts = contained(corpus, queries, *within) if how == "rg" else counted(corpus, queries, *within)
+    return best(scored(counts, how), k, "query_id", *within)
 
 
-def _block_hits(rows: DataFrame, queries: list[tuple], k: int, how: str) -> DataFrame:
-    """The k best of each query in each task; of each side of it, where queries have a document too."""
-    sided = bool(queries) and len(queries[0]) > 2
-    schema = f"{HIT}, side string" if sided else HIT
-
-    def run(batches):
-        b, scorer = Block([q[:2] for q in queries]), SCORERS[how]
-        kept: dict[tuple[int, str], list] = {}
-        for batch in batches:
-            documents = batch.column("document_id").to_pylist() if sided else [None] * batch.num_rows
-            for id_, text, document in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), documents):
-                take, score, tri, n_tri, tok, n_tok, phrase = scorer(b, flat(text))
-                score = np.round(score, 6)
-                for q in np.flatnonzero(take).tolist():
-                    side = "l" if sided and document is not None and document == queries[q][2] else "r"
-                    kept.setdefault((q, side), []).append((-float(score[q]), id_, int(tri[q]), int(n_tri[q]), int(tok[q]), int(n_tok[q]), bool(phrase[q])))
-            for key, found in kept.items():
-                if len(found) > 4 * k:
-                    kept[key] = sorted(found)[:k]
-        rows_out = [(b.ids[q], f[1], *f[2:], -f[0], side) for (q, side), found in kept.items() for f in sorted(found)[:k]]
-        columns = list(zip(*rows_out)) if rows_out else [[] for _ in range(9)]
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.string())
-        names = [x.split()[0] for x in schema.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: len(names)], kinds)], names=names)
-
-    return rows.mapInArrow(run, schema)
+def candidate_counts(hits: DataFrame) -> DataFrame:
+    """(query_id, candidate_count): how many texts each query had to rank."""
+    return hits.groupBy("query_id").agg(F.countDistinct("id").alias("candidate_count"))
 
 
 def trigram_index(corpus: DataFrame) -> DataFrame:
@@ -202,31 +146,63 @@ def candidates(index: DataFrame, plan: planner.Plan) -> DataFrame | None:
     return counts.where(passes).select("id")
 
 
+def planned(queries: DataFrame) -> DataFrame:
+    """``queries(query_id, query)`` with is_regex, valid, pattern (for the JVM) and alternatives: sets of sequences of which a match has one, null where nothing can be asked of an index."""
+
+    def run(batches):
+        for batch in batches:
+            plans = [planner.plan(q or "") for q in batch.column("query").to_pylist()]
+            sets = [None if p.alternatives is None else [sorted(a) for a in p.alternatives] for p in plans]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("query"), pa.array([p.is_regex for p in plans]), pa.array([p.valid for p in plans]), pa.array([p.java() if p.is_regex and p.valid else None for p in plans], pa.string()), pa.array(sets, pa.list_(pa.list_(pa.string())))], names=["query_id", "query", "is_regex", "valid", "pattern", "alternatives"])
+
+    some = queries.select(F.col("query_id").cast("string").alias("query_id"), "query").where("query is not null")
+    return some.mapInArrow(run, "query_id string, query string, is_regex boolean, valid boolean, pattern string, alternatives array<array<string>>")
+
+
+def _matched(rows: DataFrame, scan: bool) -> DataFrame:
+    """``rows(text, pattern, ...)`` that match, with match_chars, chars and score: by all matches with ``scan``, else by the first."""
+    one = lambda m: F.greatest(F.char_length(m), F.lit(1))
+    chars = F.aggregate(F.expr("regexp_extract_all(text, pattern, 0)"), F.lit(0), lambda a, m: a + one(m)) if scan else one(F.expr("regexp_extract(text, pattern, 0)"))
+    base, share = (0.5, 0.5) if scan else (0.7, 0.3)
+    hits = rows.where(F.expr("text rlike pattern")).withColumn("match_chars", chars).withColumn("chars", F.char_length("text"))
+    return hits.withColumn("score", F.round(F.least(F.lit(1.0), F.lit(base) + F.lit(share) * (F.col("match_chars") / F.col("chars"))), 6))
+
+
+def regexes(corpus: DataFrame, plans: DataFrame, index: DataFrame | None = None, scan: bool = False) -> DataFrame:
+    """(query_id, id, match_chars, score): all texts of ``corpus(id, text)`` that match a valid expression of ``plans`` (of `planned`).
+
+    With an ``index(trigram, id)`` each alternative of an expression is counted in its postings,
+    and only texts that have all its sequences are verified. Expressions that ask nothing of an
+    index are held against all texts, as a stated set of queries.
+    """
+    rows = corpus.select("id", "text").where("text is not null and text <> ''")
+    good = plans.where("is_regex and valid").select("query_id", "pattern", "alternatives")
+    open_ones = good if index is None else good.where("alternatives is null")
+    full = rows.join(open_ones.select("query_id", "pattern"), F.expr("text rlike pattern"))
+    out = _matched(full, scan).select("query_id", "id", "match_chars", "score")
+    if index is None:
+        return out
+    each = good.where("alternatives is not null").select("query_id", F.posexplode("alternatives").alias("alternative", "set"))
+    asked = each.select("query_id", "alternative", F.size("set").alias("n"), F.explode("set").alias("trigram"))
+    met = index.select("trigram", "id").join(asked, "trigram").groupBy("query_id", "alternative", "n", "id").agg(F.countDistinct("trigram").alias("have")).where("have = n")
+    some = met.select("query_id", "id").distinct().join(good.select("query_id", "pattern"), "query_id").join(rows, "id")
+    return out.unionByName(_matched(some, scan).select("query_id", "id", "match_chars", "score"))
+
+
 def regex(corpus: DataFrame, query: str, k: int | None = 10, index: DataFrame | None = None, scan: bool = False) -> DataFrame:
-    """(id, match_chars, chars, score, rank): the texts a regular expression matches.
+    """(id, match_chars, chars, score): the texts one regular expression matches, the k best.
 
-    With ``scan`` the score counts all matches, else the first. ``index`` holds postings; what
-    it admits is verified on the stored text. An invalid expression has no hits here.
+    What an ``index`` admits is verified on the stored text. An invalid expression has no hits here; `run` searches its words.
     """
     plan = planner.plan(query)
     rows = corpus.select("id", "text").where("text is not null and text <> ''")
-    if not plan.valid or not plan.is_regex:
-        rows = rows.where("false")
-        pattern = "a^"
-    else:
-        pattern = plan.java()
-        some = candidates(index, plan) if index is not None else None
-        if some is not None:
-            rows = rows.join(some, "id", "left_semi")
-    matches = F.regexp_extract_all("text", F.lit(pattern), 0)
-    one = lambda m: F.greatest(F.char_length(m), F.lit(1))
-    found = F.aggregate(matches, F.lit(0), lambda a, m: a + one(m)) if scan else one(F.regexp_extract("text", pattern, 0))
-    hits = rows.where(F.col("text").rlike(pattern)).select("id", found.alias("match_chars"), F.char_length("text").alias("chars"))
-    base, share = (0.5, 0.5) if scan else (0.7, 0.3)
-    scored = hits.withColumn("score", F.round(F.least(F.lit(1.0), F.lit(base) + F.lit(share) * (F.col("match_chars") / F.col("chars"))), 6))
-    if k is None:
-        return scored
-    return scored.orderBy(F.desc("score"), F.asc("id")).limit(k)
+    usable = plan.valid and plan.is_regex
+    some = candidates(index, plan) if usable and index is not None else None
+    if some is not None:
+        rows = rows.join(some, "id", "left_semi")
+    found = _matched(rows.where(F.lit(usable)).withColumn("pattern", F.lit(plan.java() if usable else "a^")), scan)
+    hits = found.select("id", "match_chars", "chars", "score")
+    return hits if k is None else hits.orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, k: int = 10, weights: tuple[float, float] = (0.55, 0.45)) -> DataFrame:
@@ -249,6 +225,18 @@ def fuse(semantic: DataFrame, lexical: DataFrame, k: int = 10, weights: tuple[fl
     return best(fused, k)
 
 
+def _blocks(queries: DataFrame, size: int):
+    """Vectors of the queries in blocks of a fixed size, one after another."""
+    block: list = []
+    for row in queries.orderBy(*queries.columns[:1]).toLocalIterator():
+        block.append(tuple(row))
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def _stacked(column: pa.Array, width: int) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(-1, width)
@@ -364,14 +352,71 @@ def encode_text(df: DataFrame, text: str, width: int = 64) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def run(spark: SparkSession, corpus: DataFrame, queries: DataFrame, strategy: str = "hybrid", k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank) by a strategy: baseline, lexical, rg, semantic or, as for any other name, hybrid."""
-    strategy = strategy.lower()
-    if strategy in SCORERS:
-        return keyword(corpus, queries, k, strategy).select("query_id", "id", "score", "rank")
-    vectors = encode_text(corpus, "text").select("id", "vector")
-    asked = encode_text(queries, "query").select("query_id", "vector")
-    semantic = nearest(vectors, asked, max(k, min(12, k + 2)) if strategy != "semantic" else k).select("query_id", "id", "score", "rank")
+def filtered(df: DataFrame, condition: str | None, **values) -> DataFrame:
+    """Rows that meet a condition with named values, before anything is ranked; all rows without one."""
+    if not condition:
+        return df
+    return df.sparkSession.sql(f"SELECT * FROM {{rows}} WHERE coalesce(({condition}), false)", args=values, rows=df)
+
+
+def semantic(corpus: DataFrame, queries: DataFrame, k: int, encode=None) -> DataFrame:
+    """The k nearest texts by vectors of an encoder, the hashed one unless another is given."""
+    encode = encode or encode_text
+    return nearest(encode(corpus, "text").select("id", "vector"), encode(queries, "query").select("query_id", "vector"), k).select("query_id", "id", "score", "rank")
+
+
+def run(spark: SparkSession, corpus: DataFrame, queries: DataFrame, strategy: str = "hybrid", k: int = 10, encode=None, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank, candidate_count, semantic_error) by a strategy: baseline, lexical, rg, semantic or, as for any other name, hybrid.
+
+    lexical and rg take queries that are regular expressions as such, rg by a scan; one that is
+    no valid expression is searched by its words. If the encoder fails, its error is told and hybrid goes on with keywords.
+    """
+    strategy = strategy.lower() if strategy.lower() in STRATEGIES else "hybrid"
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "query").where("query is not null")
+    error, vague = None, None
+    if strategy in ("semantic", "hybrid"):
+        try:
+            vague = semantic(corpus, asked, k if strategy == "semantic" else max(k, min(12, k + 2)), encode)
+        except Exception as e:  # noqa: BLE001 - whatever an encoder raises is told
+            error = f"{type(e).__name__}: {e}"[:200]
+            vague = spark.createDataFrame([], "query_id string, id string, score double, rank int")
     if strategy == "semantic":
-        return semantic
-    return fuse(semantic, keyword(corpus, queries, k, "lexical").select("query_id", "id", "score", "rank"), k).select("query_id", "id", "score", "rank")
+        hits, counts = vague, candidate_counts(vague)
+    else:
+        how = "lexical" if strategy == "hybrid" else strategy
+        if how == "baseline":
+            every = scored(counted(corpus, asked), how).select("query_id", "id", "score")
+        else:
+            plans = materialize(planned(asked), "plans")
+            # an expression that can't be read is looked for as words
+            plain = plans.where("not (is_regex and valid)").select("query_id", "query")
+            words = scored((contained if how == "rg" else counted)(corpus, plain), how).select("query_id", "id", "score")
+            found = regexes(corpus, plans, None if how == "rg" else (index if index is not None else trigram_index(corpus)), how == "rg")
+            every = words.unionByName(found.select("query_id", "id", "score"))
+        hits = best(every, k).select("query_id", "id", "score", "rank")
+        counts = candidate_counts(hits)
+        if strategy == "hybrid":
+            counts = candidate_counts(vague.select("query_id", "id").unionByName(hits.select("query_id", "id")))
+            hits = fuse(vague, hits, k).select("query_id", "id", "score", "rank")
+    return hits.join(counts, "query_id", "left").withColumn("semantic_error", F.lit(error).cast("string"))
+
+
+def grounded(corpus: DataFrame, queries: DataFrame, k: int = 5, indexed: DataFrame | None = None, *within: str) -> DataFrame:
+    """(query_id, *within, id, rank, score, mode): the best texts of each query's own document, with a way back where there are none.
+
+    ``indexed`` holds the ids an index knows; a query without hits among those is asked again of
+    all texts, as after building the index anew, and then of the baseline.
+    """
+    within = within or ("document_id",)
+    side = ["query_id", *within]
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "query", *within)
+    counts = materialize(counted(corpus, asked, *within), "counts")
+    lexical = scored(counts, "lexical")
+    ways = [("index", lexical if indexed is None else lexical.join(indexed.select("id").distinct(), "id", "left_semi")), ("reindexed", lexical), ("baseline", scored(counts, "baseline"))]
+    out = None
+    for mode, hits in ways:
+        found = best(hits, k, *side).select(*side, "id", "rank", "score", F.lit(mode).alias("mode"))
+        if out is not None:
+            found = found.join(out.select(*side).distinct(), side, "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
