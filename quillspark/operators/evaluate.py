@@ -87,3 +87,86 @@ def run_summaries(runs: DataFrame, result: str) -> DataFrame:
     shape = "map<string, struct<recall: double, mrr: double, ndcg: double>>"
     rows = runs.select("run_id", F.explode(F.from_json(result, shape)).alias("strategy", "m"))
     return rows.groupBy("run_id").agg(F.count("*").alias("strategies"), *[F.round(F.avg(f"m.{c}"), 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+def cost(prompt: Column, completion: Column, per_1k_in: float, per_1k_out: float) -> Column:
+    """The cost of tokens at prices for a thousand; nulls count as none."""
+    return F.coalesce(prompt, F.lit(0)) / 1000.0 * per_1k_in + F.coalesce(completion, F.lit(0)) / 1000.0 * per_1k_out
+
+
+def economics(samples: DataFrame, *by: str) -> DataFrame:
+    """Sums and means of samples(prompt_tokens, completion_tokens, cost_usd, latency_ms, compression_ratio, llm_calls), columns that lack or are null counting as 0, a ratio as 1; one row of zeros, ratio 1, for no samples."""
+    have = lambda c, other: F.coalesce(F.col(c).cast("double"), F.lit(other)) if c in samples.columns else F.lit(other)
+    total = lambda c: F.coalesce(F.sum(have(c, 0.0)), F.lit(0.0))
+    mean = lambda c, other: F.round(F.coalesce(F.avg(have(c, other)), F.lit(other)), 6)
+    return samples.groupBy(*by).agg(
+        F.count("*").alias("runs"), total("prompt_tokens").alias("total_prompt_tokens"), total("completion_tokens").alias("total_completion_tokens"), (total("prompt_tokens") + total("completion_tokens")).alias("total_tokens"),
+        F.round(total("cost_usd"), 6).alias("total_cost_usd"), mean("latency_ms", 0.0).alias("avg_latency_ms"), mean("compression_ratio", 1.0).alias("avg_compression_ratio"), total("llm_calls").alias("total_llm_calls"),
+    )
+
+
+def judged_hits(hits: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Every hit(query_id, id, rank, score) with ``is_relevant``, and of its query ``gold_present`` and ``best_relevant_rank``.
+
+    qrels(query_id, document_id) judge by document, so a query with a large document isn't joined with all its texts; hits have document_id.
+    """
+    gold = qrels.select("query_id", "document_id").distinct().withColumn("_gold", F.lit(True))
+    rows = hits.join(gold, ["query_id", "document_id"], "left").withColumn("is_relevant", F.coalesce("_gold", F.lit(False))).drop("_gold")
+    first = F.min(F.when(F.col("is_relevant"), F.col("rank"))).over(Window.partitionBy("query_id"))
+    return rows.withColumn("best_relevant_rank", first).withColumn("gold_present", first.isNotNull())
+
+
+def by_document(hits: DataFrame, qrels: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:
+    """The measures of `retrieval` where every text of a query's documents is relevant alike: qrels(query_id, document_id), hits with document_id, sizes(document_id, texts).
+
+    How many texts are relevant is counted by document, so neither side is multiplied.
+    """
+    gold = qrels.select("query_id", "document_id").distinct()
+    of = gold.join(sizes, "document_id").groupBy("query_id").agg(F.sum("texts").alias("relevant"))
+    got = hits.join(gold, ["query_id", "document_id"], "left_semi")
+    seen = got.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("found"), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("gain"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("relevant").cast("int"))), F.lit(0.0), lambda a, n: a + 1 / F.log2(n + 1))
+    j = of.join(seen, "query_id", "left").fillna({"found": 0, "gain": 0.0})
+    return j.select("query_id", (F.col("found") / F.col("relevant")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"), F.least(F.lit(1.0), F.col("gain") / ideal).alias("ndcg"), "relevant", "found")
+
+
+def history_summary(runs: DataFrame, strategies: DataFrame, last: int = 100) -> DataFrame:
+    """One row on the last runs(run_id, created_at): their number, the latest, the strategy of the best recall and means over strategies(run_id, strategy, recall, latency)."""
+    some = runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(last)
+    each = strategies.join(some.select("run_id"), "run_id", "left_semi")
+    head = some.agg(F.count("*").alias("runs"), F.max_by("run_id", F.struct("created_at", "run_id")).alias("latest"))
+    best = each.agg(F.min_by("strategy", F.struct(-F.col("recall"), F.col("strategy"))).alias("best_strategy"), F.round(F.coalesce(F.avg("recall"), F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(F.avg("latency"), F.lit(0.0)), 6).alias("latency"))
+    # both sides are one row
+    return head.join(best, F.lit(True))
+
+
+def trend(summaries: DataFrame, last: int = 8) -> DataFrame:
+    """The last runs(run_id, created_at, recall, mrr, ndcg) in the order of time, numbered, with the change of recall against the run before."""
+    some = summaries.orderBy(F.desc("created_at"), F.desc("run_id")).limit(last)
+    w = Window.orderBy("created_at", "run_id")  # over at most ``last`` rows
+    return some.withColumn("step", F.row_number().over(w)).withColumn("recall_change", F.round(F.col("recall") - F.lag("recall").over(w), 6))
+
+
+class PackError(Exception):
+    """A question pack that can't be built: ``code`` is dataset_access_error, empty_split or schema_mismatch."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
+
+
+def load_pack(read, query: str, ids: str, texts: str, most: int = 8192) -> tuple[DataFrame, DataFrame, int]:
+    """(samples, corpus, skipped) of the rows that ``read()`` gives, by `question_pack`; PackError tells why there are none."""
+    try:
+        rows = read()
+        columns = set(rows.columns)
+        empty = rows.isEmpty()
+    except Exception as e:  # noqa: BLE001 - whatever a reader raises is an access error
+        raise PackError("dataset_access_error", f"{type(e).__name__}: {e}"[:300]) from e
+    if not {query, ids, texts} <= columns:
+        raise PackError("schema_mismatch", f"columns {sorted({query, ids, texts} - columns)} are missing")
+    if empty:
+        raise PackError("empty_split", "there are no rows")
+    flat = F.trim(F.regexp_replace(F.coalesce(F.col(query), F.lit("")), rf"(?U)[{T.SPACE}]+", " "))
+    skipped = rows.where((flat == "") | (F.char_length(flat) > most)).count()
+    return (*question_pack(rows, F.col(query), ids, F.col(texts), most), skipped)

@@ -141,7 +141,7 @@ UNION ALL SELECT document_id || ':markdown:0', document_id, {S.trimmed('md_resul
     "snk_delete_cascade": f"SELECT id, document_id FROM ocr_responses WHERE document_id NOT IN (SELECT document_id FROM {_STATUS} WHERE status = 'error')",
     "snk_delete_predicate": "SELECT evidence_id, source_type, page_number FROM evidence_units WHERE NOT coalesce(source_type = 'markdown_block' AND page_number <= 1, false)",
     "src_addresses": f"SELECT document_id, page_number, CASE WHEN problem IS NULL THEN b END AS bucket, CASE WHEN problem IS NULL THEN k END AS key, problem, last_segment FROM (SELECT *, CASE WHEN NOT starts_with(uri, 's3://') THEN 'scheme' WHEN b = '' THEN 'bucket' WHEN k = '' THEN 'key' END AS problem, list_last(string_split(uri, '/')) AS last_segment FROM (SELECT *, regexp_extract(uri, '^s3://([^/]*)', 1) AS b, regexp_extract(uri, '^s3://[^/]*/(.*)$', 1) AS k FROM (SELECT DISTINCT document_id, page_number, filename, {_URI} AS uri FROM parsed_pages)))",
-    "src_data_urls": f"SELECT document_id, page_number, CASE WHEN octet_length(encode(text)) <= 1500 THEN 'data:' || {_MIME} || ';base64,' || to_base64(encode(text)) END AS url FROM parsed_pages",
+    "src_data_urls": f"SELECT document_id, page_number, CASE WHEN octet_length(encode(text)) <= CASE WHEN starts_with({_MIME}, 'image/') THEN 10485760 ELSE 52428800 END THEN 'data:' || {_MIME} || ';base64,' || to_base64(encode(text)) END AS url FROM parsed_pages",
     "src_documents": f"SELECT d.document_id, d.total_pages, d.pages_seen, CASE WHEN x.document_id IS NOT NULL THEN 'completed' WHEN s.status IS NOT NULL THEN s.status ELSE 'processing' END AS shown_status, CASE WHEN x.document_id IS NOT NULL THEN 1.0 ELSE coalesce(s.progress, 0.5) END AS shown_progress FROM (SELECT document_id, max(total_pages) AS total_pages, count(DISTINCT page_number) AS pages_seen FROM parsed_pages GROUP BY 1) d LEFT JOIN {_STATUS} s USING (document_id) LEFT JOIN (SELECT DISTINCT document_id FROM ocr_responses WHERE md_results IS NOT NULL) x ON x.document_id = d.document_id",
     "src_contents": f"SELECT r.document_id, length(md_results) AS chars, len(layout_details) AS layout_pages, pages FROM {_LATEST} r LEFT JOIN (SELECT document_id, max(total_pages) AS pages FROM parsed_pages GROUP BY 1) m USING (document_id) WHERE md_results IS NOT NULL AND layout_details IS NOT NULL",
     "src_latest_runs": "SELECT DISTINCT id, document_id, created FROM ocr_responses ORDER BY created DESC, id DESC LIMIT 25",

@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import ingest as I
 from ..operators import search as R
 from ..operators.diff import changed_words, classify, with_ops
+from ..session import materialize
 from ..sources.tables import table
 from . import search as PS
 from . import sql as S
@@ -81,14 +82,6 @@ def _compared(mode):
     return lambda s, f: C.compare(run_units(s, f), run_pairs(s, f), mode)
 
 
-def claimed(spark, folder):
-    claims = PS.claims(spark, folder)
-    raw = bundles(spark, folder).select(F.col("bundle_id").cast("string").alias("query_id"), "claim")
-    hits = R.by_side(PS.corpus(spark, folder), claims, 3).select("query_id", "id", "side", "score")
-    rows = hits.join(PS.corpus(spark, folder), "id").join(raw, "query_id")
-    return C.compare_claims(rows.select(F.col("query_id").alias("claim_id"), "claim", T.category("claim").alias("category"), "side", "id", "text", F.lit(0).alias("page"), "score"))
-
-
 def versions(spark, folder):
     """Word differences between the runs of one document, in the order of their making."""
     runs = table(spark, folder, "ocr_responses").select("id", "document_id", "created", "md_results").where("md_results is not null").distinct()
@@ -117,31 +110,40 @@ def missing_lines(spark, folder):
     return left.join(right, ["right_document_id", "norm"], "left_anti").select("evidence_id", "right_document_id")
 
 
-def qrels(spark, folder):
-    claims = PS.claims(spark, folder)
-    return PS.corpus(spark, folder).join(claims.select("query_id", "document_id"), "document_id").select("query_id", "id", F.lit(1.0).alias("relevance"))
-
-
-def _hits(spark, folder, how):
-    return R.keyword(PS.corpus(spark, folder), PS.claims(spark, folder).select("query_id", "query"), 10, how).select("query_id", "id", "rank")
-
-
-STRATEGIES = ["baseline", "lexical", "rg"]
+#: Strategies in the order in which the first of equals is the best.
+STRATEGIES = ["baseline", "lexical", "semantic", "hybrid", "rg"]
+KEYWORD = ["baseline", "lexical", "rg"]
 #: Questions of a pack have at most so many characters, as in the reference.
 LONGEST = 8192
 
 
-def by_strategy(spark, folder):
+def _measured(spark, folder, strategies):
+    """The measures of each claim by strategy: the texts of its document are relevant. Texts and claims are met once for the keyword strategies."""
+    rows, claims = materialize(PS.corpus(spark, folder), "corpus"), PS.claims(spark, folder)
+    asked = claims.select("query_id", "query")
+    counts = materialize(R.counted(rows, asked), "counts")
+    vague = materialize(R.semantic(rows, asked, 12), "vague") if "semantic" in strategies else None
+    sizes = rows.groupBy("document_id").agg(F.countDistinct("id").alias("texts"))
     out = None
-    for how in STRATEGIES:
-        m = E.retrieval(_hits(spark, folder, how), qrels(spark, folder), 10).withColumn("strategy", F.lit(how))
+    for how in strategies:
+        if how == "semantic":
+            hits = vague.where("rank <= 10")
+        elif how == "hybrid":
+            hits = R.fuse(vague, R.best(R.scored(counts, "lexical"), 10).select("query_id", "id", "score", "rank"), 10)
+        else:
+            hits = R.best(R.scored(R.contained(rows, asked) if how == "rg" else counts, how), 10)
+        judged = hits.select("query_id", "id", "rank").join(rows.select("id", "document_id"), "id")
+        m = E.by_document(judged, claims.select("query_id", "document_id"), sizes, 10).withColumn("strategy", F.lit(how))
         out = m if out is None else out.unionByName(m)
-    return E.means(out, "strategy")
+    return out
+
+
+def by_strategy(spark, folder, strategies=None):
+    return E.means(_measured(spark, folder, strategies or STRATEGIES), "strategy")
 
 
 def measured(spark, folder):
-    m = E.retrieval(_hits(spark, folder, "lexical"), qrels(spark, folder), 10)
-    return m.select("query_id", "relevant", "found", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
+    return _measured(spark, folder, ["lexical"]).select("query_id", "relevant", "found", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
 
 
 def language_labels(spark, folder):
@@ -158,11 +160,6 @@ def experiment_runs(spark, folder):
     return f.groupBy("document_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field_type", F.struct("recall", "mrr", "ndcg"))))).alias("result")).select(F.col("document_id").alias("run_id"), "result")
 
 
-def history(spark, folder):
-    s = E.run_summaries(experiment_runs(spark, folder), "result")
-    return s.orderBy(F.desc("run_id")).limit(100).agg(F.count("*").alias("runs"), F.max("run_id").alias("latest"), F.max_by("run_id", F.struct("recall", "run_id")).alias("best_run"), F.round(F.avg("mrr"), 6).alias("mrr"))
-
-
 QUERIES = {
     "det_conflicts": flags,
     "det_by_document_units": fact_conflicts,
@@ -175,12 +172,12 @@ QUERIES = {
     "cmp_standard": _compared("standard"),
     "cmp_full_lexical": _compared("full_lexical"),
     "cmp_adaptive": _compared("adaptive"),
-    "cmp_claims": claimed,
     "cmp_groups": lambda s, f: _compared("standard")(s, f).groupBy("subtype").agg(F.count("*").alias("changes"), F.count_if(F.col("importance") == "high").alias("high")),
     "cmp_page_band": page_band,
     "cmp_missing_blocks": missing_lines,
     "evl_retrieval": measured,
     "evl_strategies": by_strategy,
+    "evl_keyword_strategies": lambda s, f: by_strategy(s, f, KEYWORD),
     "evl_best_strategy": lambda s, f: E.best_strategy(by_strategy(s, f), STRATEGIES).select("strategy", "recall"),
     "evl_labels": lambda s, f: E.labelled(language_labels(s, f), "gold", "predicted"),
     "evl_labels_by_source": lambda s, f: E.labelled(language_labels(s, f).withColumn("source", F.lower("source")), "gold", "predicted", "source"),
@@ -192,7 +189,6 @@ QUERIES = {
     "evl_judged_pairs": lambda s, f: E.judged_pairs(table(s, f, "normalized_facts").select(F.col("document_id").alias("query_id"), F.col("evidence_id").alias("id"), F.col("confidence").alias("relevance")).distinct(), bundles(s, f).groupBy("document_id").agg(F.min("claim").alias("query")).withColumnRenamed("document_id", "query_id"), PS.corpus(s, f)),
     "evl_first_rows": lambda s, f: E.first_rows(bundles(s, f).select("bundle_id", "document_id").distinct(), 20, "bundle_id"),
     "hst_run_summaries": lambda s, f: E.run_summaries(experiment_runs(s, f), "result"),
-    "hst_history": history,
 }
 
 _BUN = "bundles AS (SELECT DISTINCT bundle_id, document_id, claim, snippets, max_chars FROM context_bundles)"
@@ -219,7 +215,7 @@ def _measures(how: str) -> str:
 
 
 _MEAN = "count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg), 6) AS ndcg"
-_STRAT = " UNION ALL ".join(f"SELECT '{h}' AS strategy, {_MEAN} FROM ({_measures(h)})" for h in STRATEGIES)
+_STRAT = " UNION ALL ".join(f"SELECT '{h}' AS strategy, {_MEAN} FROM ({_measures(h)})" for h in KEYWORD)
 _LABELS = "(SELECT doc_id, lower(source) AS source, starts_with(lower(lang), 'fr') AS gold, len(list_filter(t, lambda x: x IN ('le', 'la', 'les', 'de', 'des', 'du', 'et'))) > len(list_filter(t, lambda x: x IN ('the', 'of', 'and', 'to', 'in', 'shall', 'any'))) AS predicted FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL))"
 
 
@@ -229,7 +225,7 @@ def _labels(by: str) -> str:
 
 
 _Q = f"trim(regexp_replace(claim, '[{S.WS}]+', ' ', 'g'))"
-_EV = f"ev AS (SELECT CAST(bundle_id AS VARCHAR) AS sample_id, q, 'find-' || bundle_id || '-ev-' || (i - 1) AS id, snippets[i] AS text FROM (SELECT *, {_Q} AS q, unnest(generate_series(1, len(snippets))) AS i FROM bundles) WHERE q <> '' AND length(q) <= 160 AND snippets[i] IS NOT NULL AND snippets[i] <> '')"
+_EV = f"ev AS (SELECT CAST(bundle_id AS VARCHAR) AS sample_id, q, 'find-' || bundle_id || '-ev-' || (i - 1) AS id, snippets[i] AS text FROM (SELECT *, {_Q} AS q, unnest(generate_series(1, len(snippets))) AS i FROM bundles) WHERE q <> '' AND length(q) <= 8192 AND snippets[i] IS NOT NULL AND snippets[i] <> '')"
 _RUNS = "(SELECT document_id AS run_id, count(*) AS strategies, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM (SELECT document_id, field_type, round(avg(confidence), 4) AS recall, round(min(confidence), 4) AS mrr, round(max(confidence), 4) AS ndcg FROM normalized_facts WHERE confidence IS NOT NULL AND field_type IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"
 ORACLE = {
     "det_conflicts": f"WITH {_BUN} SELECT bundle_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_AP(n)} THEN {S.quoted(k)} END' for k, n, _, _ in _KINDS)}], lambda k: k IS NOT NULL), '|') AS conflicts, {_SEV.format(h=_H, w='(' + _W + ')')} AS severity, len(list_intersect(c_numbers, e_numbers)) AS shared_numbers FROM (SELECT bundle_id, {_COLS} FROM {_JB})",
@@ -238,8 +234,7 @@ ORACLE = {
     "cmp_page_band": f"WITH {_UNITS}, {_PAIRS} SELECT pair_id, count(*) AS near_pairs FROM pairs JOIN units a ON a.document_id = l JOIN units b ON b.document_id = r WHERE abs(a.page_number - b.page_number) <= 1 GROUP BY 1",
     "cmp_missing_blocks": f"WITH {_UNITS}, {_PAIRS}, norms AS (SELECT evidence_id, document_id, {S.normalized('content')} AS norm FROM units) SELECT evidence_id, r AS right_document_id FROM norms a JOIN pairs ON l = document_id WHERE length(norm) >= 12 AND NOT EXISTS (SELECT 1 FROM norms b WHERE b.document_id = r AND b.norm = a.norm)",
     "evl_retrieval": f"WITH {_BASE} SELECT query_id, relevant, found, round(recall, 6) AS recall, round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg, 6) AS ndcg FROM ({_measures('lexical')})",
-    "evl_strategies": f"WITH {_BASE} {_STRAT}",
-    "evl_best_strategy": f"WITH {_BASE} SELECT strategy, recall FROM ({_STRAT}) ORDER BY recall DESC, list_position(['baseline', 'lexical', 'rg'], strategy) LIMIT 1",
+    "evl_keyword_strategies": f"WITH {_BASE} {_STRAT}",
     "evl_labels": _labels(""),
     "evl_labels_by_source": _labels("source"),
     "evl_tokens": "SELECT id, coalesce(nullif(token_usage.total_tokens, 0), coalesce(token_usage.prompt_tokens, 0) + coalesce(token_usage.completion_tokens, 0)) AS tokens FROM ocr_responses",
@@ -250,5 +245,4 @@ ORACLE = {
     "evl_judged_pairs": f"WITH {_BUN}, {_UNITS} SELECT q.document_id AS query_id, q.query, f.evidence_id AS id, f.confidence AS relevance FROM (SELECT DISTINCT document_id, evidence_id, confidence FROM normalized_facts) f JOIN (SELECT document_id, min(claim) AS query FROM bundles GROUP BY 1) q USING (document_id) WHERE f.evidence_id IN (SELECT evidence_id FROM units)",
     "evl_first_rows": f"WITH {_BUN} SELECT DISTINCT bundle_id, document_id FROM bundles ORDER BY bundle_id LIMIT 20",
     "hst_run_summaries": f"SELECT * FROM {_RUNS}",
-    "hst_history": f"SELECT count(*) AS runs, max(run_id) AS latest, arg_max(run_id, (recall, run_id)) AS best_run, round(avg(mrr), 6) AS mrr FROM (SELECT * FROM {_RUNS} ORDER BY run_id DESC LIMIT 100)",
 }

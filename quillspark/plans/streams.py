@@ -8,7 +8,7 @@ from ..streaming import ingest as G
 from . import ingest as PI
 
 QUERIES = {
-    "stm_status_counts": lambda s, f: G.drained(G.status_counts(G.table_stream(s, f, "status_log")), "status"),
+    "stm_status_counts": lambda s, f: G.drained(G.status_counts(G.table_stream(s, f, "status_log")), "status", "day", "status"),
     "stm_arrived_units": lambda s, f: G.arrived_units(s, f).select("document_id", "source_type").groupBy("source_type").agg(F.count("*").alias("units")),
 }
 ORACLE = {

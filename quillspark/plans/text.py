@@ -83,8 +83,44 @@ QUERIES = {
     "ext_durations": _one(units, "evidence_id", "content", normalized=lambda c: joined(X.durations(c)["normalized"])),
     "ext_references": _one(units, "evidence_id", "content", normalized=lambda c: joined(X.references(c)["normalized"])),
     "ext_facts": lambda spark, folder: X.with_facts(units(spark, folder), "content").select("evidence_id", F.explode("facts").alias("f")).select("evidence_id", "f.*"),
-    "ext_facts_selected": lambda spark, folder: X.with_facts(units(spark, folder), "content").withColumn("category", T.category("content")).withColumn("own", F.filter("facts", lambda f: f["category"] == F.col("category"))).select("evidence_id", "category", F.size(F.when((F.col("category") == "general") | (F.size("own") == 0), F.col("facts")).otherwise(F.col("own"))).alias("selected")),
+    "ext_facts_selected": lambda spark, folder: X.with_facts(units(spark, folder), "content").withColumn("category", T.category("content")).select("evidence_id", "category", F.size(X.selected(F.col("facts"), F.col("category"))).alias("selected")),
 }
+def _refs(x: str) -> str:
+    """References of a text: words of any script are put between two marks, which stand for its word boundaries."""
+    marked = f"regexp_replace({x}, '([\\p{{L}}\\p{{N}}_]+)', '\x01\\1\x02', 'g')"
+    pattern = f"(?i)\x01(?:ref(?:erence)?|référence|version|revision)\x02?[{S.WS}]*[:#-]?[{S.WS}]*\x01?[A-Z0-9](?:[\x01\x02]?[A-Z0-9._/-])*[\x01\x02]"
+    return f"list_transform(regexp_extract_all({marked}, {S.quoted(pattern)}), lambda v: {S.trimmed("regexp_replace(v, '[\x01\x02]', '', 'g')")})"
+
+
+def _firsts(found: str, norm: str) -> str:
+    """Of the found values the first of each normal form, as (raw, norm)."""
+    pairs = f"list_transform({found}, lambda v: struct_pack(raw := {S.trimmed('v')}, norm := {norm}))"
+    return f"list_filter({pairs}, lambda p, i: list_position(list_transform({pairs}, lambda o: o.norm), p.norm) = i)"
+
+
+def _facts_sql() -> str:
+    hit = lambda c: S.contains_any("flat", T.KEYWORDS[c])
+    money = f"replace(regexp_replace(lower(v), '[{S.WS}]+', '', 'g'), ',', '.')"
+    found = {"amount": _firsts(S.every("t", X.MONEY), money), "date": _firsts(S.every("t", X.DATE), S.normalized("v")), "duration": _firsts(S.every("t", X.DURATION), S.normalized("v")), "reference": _firsts(_refs("t"), S.normalized("v"))}
+    fact = lambda kind, raw, norm, category, c: f"struct_pack(field_type := '{kind}', raw_value := {raw}, normalized_value := {norm}, category := {category}, confidence := {c}::DOUBLE)"
+    parts = []
+    for kind, _, a, b, c in X.VALUES:
+        category = f"'{a}'" if a == b else f"CASE WHEN {hit(a)} THEN '{a}' ELSE '{b}' END"
+        parts.append(f"list_filter(list_transform({found[kind]}, lambda p: {fact(kind, 'p.raw', 'p.norm', category, c)}), lambda f: f.normalized_value <> '')")
+    steps = [f"texts AS (SELECT row_number() OVER () AS rid, evidence_id, content, coalesce(content, '') AS t, {S.normalized("coalesce(content, '')")} AS flat FROM evidence_units)", f"valued AS (SELECT *, list_concat(list_concat({parts[0]}, {parts[1]}), list_concat({parts[2]}, {parts[3]})) AS vs FROM texts)"]
+    chunks = S.chunks("t", ".;:")
+    said = []
+    for kind, category, c, alone in X.SENTENCES:
+        fit = f"list_filter({chunks}, lambda k: {S.contains_any(S.normalized('k'), T.KEYWORDS[category])})"
+        sentence = f"left(CASE WHEN len({fit}) > 0 THEN {fit}[1] WHEN len({chunks}) > 0 THEN {chunks}[1] ELSE {S.trimmed('t')} END, 240)"
+        free = f"len(list_filter(vs, lambda f: f.category = '{category}')) = 0" if alone else "true"
+        said.append(f"CASE WHEN {hit(category)} AND {free} THEN [{fact(kind, S.trimmed(sentence), S.normalized(sentence), f"'{category}'", c)}] ELSE [] END")
+    steps.append("said AS (SELECT *, list_concat(list_concat(vs, " + said[0] + "), list_concat(" + said[1] + ", list_concat(" + said[2] + ", " + said[3] + "))) AS fs FROM valued)")
+    first = f"left(CASE WHEN len({chunks}) > 0 THEN {chunks}[1] ELSE {S.trimmed('t')} END, 240)"
+    steps.append(f"facts AS (SELECT rid, evidence_id, content, CASE WHEN len(fs) = 0 AND regexp_matches({S.masked('t')}, {S.quoted(X.MODAL)}) THEN [{fact('clause_text', S.trimmed(first), S.normalized(first), "'general'", 0.5)}] ELSE fs END AS facts FROM said)")
+    return ", ".join(steps)
+
+
 _E, _D = "evidence_units", "documents"
 ORACLE = {
     "txt_normalize": _sql(_E, "evidence_id", norm=S.normalized("content")),
@@ -106,4 +142,7 @@ ORACLE = {
     "ext_money": _sql(_E, "evidence_id", raw=S.joined(f"list_transform({S.every('content', X.MONEY)}, lambda v: trim(v))"), normalized=S.joined(f"list_transform({S.every('content', X.MONEY)}, lambda v: replace(regexp_replace(lower(v), '[{S.WS}]+', '', 'g'), ',', '.'))")),
     "ext_written_dates": _sql(_E, "evidence_id", normalized=S.joined(f"list_transform({S.every('content', X.DATE)}, lambda v: {S.normalized('v')})")),
     "ext_durations": _sql(_E, "evidence_id", normalized=S.joined(f"list_transform({S.every('content', X.DURATION)}, lambda v: {S.normalized('v')})")),
+    "ext_references": _sql(_E, "evidence_id", normalized=S.joined(f"list_transform({_refs('content')}, lambda v: {S.normalized('v')})")),
+    "ext_facts": f"WITH {_facts_sql()} SELECT evidence_id, f.field_type, f.raw_value, f.normalized_value, f.category, f.confidence FROM (SELECT evidence_id, unnest(facts) AS f FROM facts)",
+    "ext_facts_selected": f"WITH {_facts_sql()} SELECT evidence_id, category, CASE WHEN category = 'general' OR len(own) = 0 THEN len(facts) ELSE len(own) END AS selected FROM (SELECT *, list_filter(facts, lambda f: f.category = category) AS own FROM (SELECT *, {S.category('content', X.MONEY, X.DATE)} AS category FROM facts))",
 }

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from .plans import ingest as _ingest
+from .plans import report as _report
 from .plans import review as _review
 from .plans import search as _search
 from .plans import streams as _streams
 from .plans import text as _text
 from .plans import units as _units
 
-MODULES = [_text, _ingest, _search, _review, _streams, _units]
+MODULES = [_text, _ingest, _search, _review, _report, _streams, _units]
 
 
 def queries() -> dict:

@@ -47,6 +47,50 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIR}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark reaches; nothing if it isn't there."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables written since the last call. Results that read them must be kept elsewhere by then."""
+    while _WRITTEN:
+        remove(spark, _WRITTEN.pop())
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            release(spark)
+    except Exception:  # noqa: BLE001 - the session has ended already, and its folder stays
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, removed by `release` or at exit."""
+    if not _WRITTEN:
+        atexit.unregister(_release_at_exit)
+        atexit.register(_release_at_exit)
+    path = f"{shared_dir(spark)}/quill_{name}_{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
@@ -54,7 +98,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     written files outlive a lost executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quill_{name}_{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
