@@ -56,7 +56,8 @@ def claim_pairs(spark, folder):
     units = I.upserted(table(spark, folder, "evidence_units")).select(F.col("evidence_id").alias("id"), F.col("content").alias("text"), F.col("page_number").alias("page"))
     claims = PS.claims(spark, folder).select("query_id", F.col("query").alias("claim"), T.category("query").alias("category"))
     rows = claim_hits(spark, folder).join(units, "id").join(claims, "query_id")
-    return claims, C.claim_pairs(rows.select(F.col("query_id").alias("claim_id"), "claim", "category", "side", "id", "text", "page", "score"))
+    hits = materialize(rows.select(F.col("query_id").alias("claim_id"), "claim", "category", "side", "id", "text", "page", "score"), "hits")
+    return claims, materialize(C.claim_pairs(hits), "pairs")
 
 
 def claimed(spark, folder):
@@ -103,8 +104,8 @@ def hits_judged(spark, folder):
 
 
 def _dated_runs(spark, folder):
-    """Runs as a history keeps them, made on the days of their documents' last status."""
-    at = table(spark, folder, "status_log").where("arrived_at is not null").groupBy(F.col("document_id").alias("run_id")).agg(F.max("arrived_at").cast("timestamp").alias("created_at"))
+    """Runs as a history keeps them, made when the last evidence of their document was taken."""
+    at = table(spark, folder, "evidence_units").where("extracted_at is not null").groupBy(F.col("document_id").alias("run_id")).agg(F.max("extracted_at").cast("timestamp").alias("created_at"))
     return V.experiment_runs(spark, folder).join(at, "run_id")
 
 
@@ -200,10 +201,10 @@ _DET = f"""{V._BUN}, evid AS {_EVID}, {_DCTX}, flags AS (SELECT *, {V._H} AS top
 det AS (SELECT bundle_id AS claim_id, document_id, conflict_types, top, total, {V._SEV.format(h='top', w='total')} AS severity, round(CASE WHEN raw <= 0 THEN 1.0 ELSE length(context) / raw::DOUBLE END, 4) AS compression_ratio FROM (SELECT *, length(claim || array_to_string(kept, '')) AS raw FROM flags))"""
 _ADVICE = "CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.ADVICE.items()) + " END"
 _SIDESQL = "cs AS (SELECT query_id, query, l AS document_id, 'l' AS side FROM base JOIN pairs ON base.document_id = l UNION ALL SELECT query_id, query, r, 'r' FROM base JOIN pairs ON base.document_id = l)"
-_HITS = f"WITH {V._PAIRS}, {PS._CORPUS}, {PS._CLAIMS.replace('claims AS', 'base AS')}, {_SIDESQL}, claims AS (SELECT query_id || '~' || side AS query_id, query, document_id FROM cs), {PS._SIDES}"
+_HITS = f"WITH {V._PAIRS.replace('docs', 'numbered')}, {PS._CORPUS}, {PS._CLAIMS.replace('claims AS', 'base AS')}, {_SIDESQL}, claims AS (SELECT query_id || '~' || side AS query_id, query, document_id FROM cs), {PS._SIDES}"
 _SAMPLES = "(SELECT lower(model) AS model, token_usage.prompt_tokens AS p, token_usage.completion_tokens AS c, md_results FROM (SELECT DISTINCT id, model, md_results, token_usage FROM ocr_responses))"
 _ECON = "count(*) AS runs, coalesce(sum(coalesce(p, 0)), 0)::DOUBLE AS total_prompt_tokens, coalesce(sum(coalesce(c, 0)), 0)::DOUBLE AS total_completion_tokens, coalesce(sum(coalesce(p, 0) + coalesce(c, 0)), 0)::DOUBLE AS total_tokens, round(sum(coalesce(p, 0) / 1000.0::DOUBLE * 0.5::DOUBLE + coalesce(c, 0) / 1000.0::DOUBLE * 1.5::DOUBLE), 6) AS total_cost_usd, round(avg(coalesce(p, 0) % 1000), 6) AS avg_latency_ms, 1.0::DOUBLE AS avg_compression_ratio, sum(CASE WHEN md_results IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE AS total_llm_calls"
-_ATS = "(SELECT document_id AS run_id, max(arrived_at) AS created_at FROM status_log WHERE arrived_at IS NOT NULL GROUP BY 1)"
+_ATS = "(SELECT document_id AS run_id, max(extracted_at) AS created_at FROM evidence_units WHERE extracted_at IS NOT NULL GROUP BY 1)"
 _FACTRUNS = "(SELECT document_id AS run_id, field_type AS strategy, round(avg(confidence), 4) AS recall, round(min(confidence), 4) AS mrr, round(max(confidence), 4) AS ndcg FROM normalized_facts WHERE confidence IS NOT NULL AND field_type IS NOT NULL GROUP BY 1, 2)"
 _PAGES = "(SELECT * FROM parsed_pages QUALIFY row_number() OVER (PARTITION BY document_id, page_number ORDER BY parsed_at DESC NULLS LAST, text DESC NULLS LAST) = 1)"
 
@@ -247,7 +248,7 @@ ORACLE = {
     "evl_economics_by_model": f"SELECT model, {_ECON} FROM {_SAMPLES} GROUP BY 1",
     "evl_hits": f"WITH {PS._CORPUS}, {PS._CLAIMS}, {PS._SIDES} SELECT query_id, id, rank, score, document_id = own AS is_relevant, min(CASE WHEN document_id = own THEN rank END) OVER (PARTITION BY query_id) AS best_relevant_rank, bool_or(document_id = own) OVER (PARTITION BY query_id) AS gold_present FROM ({PS._top(PS._scored('lexical'), 10)})",
     "evl_trend": f"SELECT step, run_id, recall, mrr, ndcg, round(recall - lag(recall) OVER (ORDER BY step), 6) AS recall_change FROM (SELECT *, row_number() OVER (ORDER BY created_at, run_id) AS step FROM (SELECT run_id, created_at, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM {_FACTRUNS} JOIN {_ATS} USING (run_id) GROUP BY 1, 2 ORDER BY created_at DESC, run_id DESC LIMIT 8))",
-    "hst_history": f"WITH some AS (SELECT DISTINCT run_id, created_at FROM {_FACTRUNS} JOIN {_ATS} USING (run_id) ORDER BY created_at DESC, run_id DESC LIMIT 100), each AS (SELECT * FROM {_FACTRUNS} WHERE run_id IN (SELECT run_id FROM some)) SELECT (SELECT count(*) FROM some) AS runs, (SELECT run_id FROM some ORDER BY created_at DESC, run_id DESC LIMIT 1) AS latest, (SELECT strategy FROM each ORDER BY recall DESC, strategy LIMIT 1) AS best_strategy, (SELECT round(avg(recall), 6) FROM each) AS recall, 0.0::DOUBLE AS latency",
+    "hst_history": f"WITH latest AS (SELECT DISTINCT run_id, created_at FROM {_FACTRUNS} JOIN {_ATS} USING (run_id) ORDER BY created_at DESC, run_id DESC LIMIT 100), each AS (SELECT * FROM {_FACTRUNS} WHERE run_id IN (SELECT run_id FROM latest)) SELECT (SELECT count(*) FROM latest) AS runs, (SELECT run_id FROM latest ORDER BY created_at DESC, run_id DESC LIMIT 1) AS latest, (SELECT strategy FROM each ORDER BY recall DESC, strategy LIMIT 1) AS best_strategy, (SELECT round(avg(recall), 6) FROM each) AS recall, 0.0::DOUBLE AS latency",
     "hst_runs": f"SELECT run_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, 'experiment' AS kind, chars FROM (SELECT run_id, created_at, 2 + sum(length(strategy) + 3) + count(*) - 1 + sum(length(j)) AS chars FROM (SELECT *, '{{\"recall\":' || recall::DOUBLE::VARCHAR || ',\"mrr\":' || mrr::DOUBLE::VARCHAR || ',\"ndcg\":' || ndcg::DOUBLE::VARCHAR || '}}' AS j FROM {_FACTRUNS}) JOIN {_ATS} USING (run_id) GROUP BY 1, 2) ORDER BY created_at DESC, run_id DESC LIMIT 25",
     "hst_comparisons": "SELECT document_id AS run_id, arg_max(lower(status), (arrived_at, lower(status))) AS status, strftime(max(arrived_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM status_log WHERE arrived_at IS NOT NULL GROUP BY 1",
     "src_page_tables": f"SELECT document_id, page_number, i - 1 AS table_no, page_tables[i].page AS page, try_cast(regexp_extract(page_tables[i].shape, '(\\d+)\\D+(\\d+)', 1) AS INT) AS \"rows\", try_cast(regexp_extract(page_tables[i].shape, '(\\d+)\\D+(\\d+)', 2) AS INT) AS columns, page_tables[i].shape AS shape FROM (SELECT *, unnest(generate_series(1, len(page_tables))) AS i FROM {_PAGES})",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import ingest as I
 from ..session import scratch
@@ -75,7 +76,7 @@ def drained(df: DataFrame, name: str, *keys: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{base}/result/batch={number}")
 
     df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{base}/result")
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/result")
     others = [c for c in df.columns if c not in keys]
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in others]).select(*df.columns)
 
