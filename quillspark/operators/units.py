@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -111,7 +111,18 @@ def _tries() -> tuple[Trie, Trie, Trie, Trie]:
     return prefixes, words, letters, powers
 
 
-@lru_cache(65536)
+def _kept(function):
+    """``function`` with its results for short texts kept; long ones are worked out each time."""
+    quick = lru_cache(65536)(function)
+
+    @wraps(function)
+    def call(text, *others):
+        return quick(text, *others) if not text or len(text) <= 200 else function(text, *others)
+
+    return call
+
+
+@_kept
 def parse_unit(text: str, field: str | None = None, only: str | None = None) -> tuple[str, float, float] | None:
     """(kind, factor, offset) of the best segmentation of all of ``text``, of the kind ``only`` if given, or None.
 
@@ -119,20 +130,23 @@ def parse_unit(text: str, field: str | None = None, only: str | None = None) ->
     longer segments score higher; so does a dimension that the field is known to hold.
     """
     text = " ".join(text.split())
-    if not text or len(text) > 60:
+    if not text:
         return None
     prefixes, words, letters, powers = _tries()
     lower = text.lower() if len(text.lower()) == len(text) else text
     wanted = PRIORS.get(field or "", "").split()
     # per position: state (root, factor, power, glued prefix sort, money scale used) -> score
-    layers: list[dict] = [{} for _ in range(len(text) + 1)]
-    layers[0][(None, 1.0, 1, "", False)] = 0.0
+    layers: dict[int, dict] = {0: {(None, 1.0, 1, "", False): 0.0}}
 
     def put(at: int, state: tuple, score: float) -> None:
-        if score > layers[at].get(state, -1e9):
+        if score > layers.setdefault(at, {}).get(state, -1e9):
             layers[at][state] = score
 
     for at in range(len(text)):
+        if at not in layers:
+            if at > max(layers):
+                return None  # nothing reads on from here, however long the text is
+            continue
         for (root, factor, power, glued, scaled), score in list(layers[at].items()):
             if text[at] in " .·-" and not (glued in ("letter", "name")):
                 put(at + 1, (root, factor, power, "", scaled), score)
@@ -162,7 +176,7 @@ def parse_unit(text: str, field: str | None = None, only: str | None = None) ->
                 elif not scaled and root is None and end < len(text):
                     put(end, (root, factor * by, power, "money", True), score - 1.1)
     best = None
-    for (root, factor, power, glued, _), score in layers[-1].items():
+    for (root, factor, power, glued, _), score in layers.get(len(text), {}).items():
         if root is None or glued or (power != 1 and root[0] != "length"):
             continue
         kind, size = root
@@ -221,10 +235,10 @@ def split_quantity(text: str) -> list[tuple[str, float, str]]:
     return out
 
 
-@lru_cache(65536)
+@_kept
 def parse_quantity(text: str | None, field: str | None = None, unit: str | None = None) -> tuple[str, float] | None:
     """(kind, value) of a written quantity; ``unit`` is used where the text has none."""
-    if not text or len(text) > 200:
+    if not text:
         return None
     total, kind = 0.0, None
     for before, value, after in split_quantity(text):
@@ -246,7 +260,7 @@ def parse_quantity(text: str | None, field: str | None = None, unit: str | None
     return (kind, total) if kind else None
 
 
-@lru_cache(65536)
+@_kept
 def unit_in(note: str | None, field: str | None = None) -> str | None:
     """The unit that a note such as "(figures in kEUR)" or "unit: m2" names: its longest ending that is one."""
     if not note:
@@ -289,7 +303,7 @@ def with_quantity(df: DataFrame, text: str, field: str | Column, note: str | Col
 
 
 #: A number followed by a bracket, as a text states the unit of a bare number.
-NUMBER_WITH_NOTE = r"([-−]?\d[\d.,'’eE+\-\s   ]*)\s*[(\[]([^()\[\]]{1,60})[)\]]"
+NUMBER_WITH_NOTE = r"([-−]?\d[\d.,'’eE+\-\s   ]*)\s*[(\[]([^()\[\]]+)[)\]]"
 
 
 def unit_notes(texts: DataFrame, key: str, text: str) -> DataFrame:
