@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract, text
-from .operators import compare, detect, evaluate, ingest, search
+from .operators import compare, detect, evaluate, ingest, report, search
 from .session import ship
 from .sources.tables import table
 
@@ -22,7 +22,7 @@ class Engine:
         return table(self.spark, self.folder, name)
 
     def info(self) -> dict:
-        return {"engine": "quillspark", "spark": self.spark.version, "strategies": [*search.SCORERS, "semantic", "hybrid"]}
+        return {"engine": "quillspark", "spark": self.spark.version, "strategies": list(search.STRATEGIES)}
 
     def units(self) -> DataFrame:
         """Evidence units as they were last delivered."""
@@ -38,18 +38,21 @@ class Engine:
         """Hits of queries(query_id, query), or of one text; a regular expression is searched as one by the lexical and rg strategies."""
         rows = search.of_documents(self.corpus(), documents)
         if isinstance(queries, str):
-            plan = search.planner.plan(queries)
-            if plan.is_regex and plan.valid and strategy in ("lexical", "rg"):
-                hits = search.regex(rows.select("id", "text"), queries, k, search.trigram_index(rows) if strategy == "lexical" else None, strategy == "rg")
-                return search.best(hits.select(F.lit("q").alias("query_id"), "id", "score"), k)
             queries = self.spark.createDataFrame([("q", queries)], "query_id string, query string")
         return search.run(self.spark, rows.select("id", "text"), queries, strategy, k)
 
+    def grounded(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """The best evidence of each query's own document, for queries(query_id, query, document_id)."""
+        return search.grounded(self.corpus(), queries, k)
+
     def detect(self, claims: DataFrame) -> DataFrame:
         return detect.detect(claims)
 
-    def compare(self, pairs: DataFrame, mode: str = "standard") -> DataFrame:
-        return compare.compare(self.units(), pairs, mode)
+    def compare(self, pairs: DataFrame, mode: str = "standard", strategy: str = "lexical") -> DataFrame:
+        return compare.compare(self.units(), pairs, mode, strategy)
+
+    def summarize(self, changes: DataFrame) -> DataFrame:
+        return report.summaries(changes)
 
     def evaluate(self, hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
         return evaluate.means(evaluate.retrieval(hits, qrels, k))
@@ -58,10 +61,9 @@ class Engine:
         return extract.with_facts(self.units().select("evidence_id", "content"), "content")
 
     def register(self) -> None:
-        """Make the extraction of facts and the similarity of texts callable from SQL."""
+        """Make the similarity of two texts callable from SQL."""
         from .operators.diff import ratio
 
-        self.spark.udf.register("quill_facts", lambda t: extract.facts_of(t), extract.FACT)
         self.spark.udf.register("quill_similarity", lambda a, b: None if a is None or b is None else float(ratio(text_flat(a), text_flat(b))), "double")
 
 

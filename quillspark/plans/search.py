@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import search as R
-from ..session import materialize
+from ..operators.vectors import VectorIndex
+from ..session import materialize, scratch
 from ..sources.tables import table
 from . import sql as S
 
@@ -102,7 +103,20 @@ def dispatched(spark, folder):
     return R.run(spark, materialize(corpus(spark, folder), "corpus").select("id", "text"), q, "lexical", 10).select("query_id", "id", "rank", "score", "candidate_count")
 
 
+def index_recall(spark, folder):
+    """Vectors with ids divisible by 100 asked of a saved index of all vectors: whether it finds nine tenths of the exact neighbours."""
+    every = vectors(spark, folder).select("id", "vector", "label")
+    asked = vectors(spark, folder).where("vec_id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    index = VectorIndex(spark, scratch(spark, "vectors"))
+    index.create(every)
+    index.add(every)
+    found = index.search(asked, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = R.nearest(every.select("id", "vector"), asked, 10).select("query_id", "id")
+    return exact.join(found, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 QUERIES = {
+    "search_index_recall": index_recall,
     "search_baseline_topk": _keyword("baseline"),
     "search_lexical_topk": _keyword("lexical"),
     "search_rg_topk": _keyword("rg"),
@@ -211,6 +225,7 @@ FROM a FULL OUTER JOIN b USING (query_id, id)''', 10)})"""
 
 
 ORACLE = {
+    "search_index_recall": "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
     "search_baseline_topk": _keyword_sql("baseline"),
     "search_lexical_topk": _keyword_sql("lexical"),
     "search_rg_topk": _keyword_sql("rg"),

@@ -60,13 +60,15 @@ def test_references_as_python_finds_them(spark):
     assert got == want
 
 
-def test_facts_rules():
-    kinds = lambda t: {(f[0], f[3]) for f in X.facts_of(t)}
-    assert ("amount", "payment") in kinds("The invoice of 1200 EUR is due")
-    assert ("amount", "liability") in kinds("Liability is capped at 50,000 EUR")
-    assert kinds("Either party may terminate") == {("termination_clause", "termination")}
-    assert kinds("The supplier must deliver") == {("clause_text", "general")}
-    assert X.facts_of(None) == [] and X.facts_of("  ") == []
+def test_facts_rules(spark):
+    texts = ["The invoice of 1200 EUR is due", "Liability is capped at 50,000 EUR", "Either party may terminate", "The supplier must deliver", None, "  ", "2 days, 2  days; notice within 2 DAYS"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: {(f.field_type, f.category) for f in r.facts} for r in X.with_facts(rows, "t").collect()}
+    assert ("amount", "payment") in got[0] and ("amount", "liability") in got[1]
+    assert got[2] == {("termination_clause", "termination")} and got[3] == {("clause_text", "general")} and not got[4] and not got[5]
+    assert got[6] == {("duration", "termination")} and [len(r.facts) for r in X.with_facts(rows.where("i = 6"), "t").collect()] == [1]
+    wanted = {r.i: [f.field_type for f in r.facts] for r in X.with_facts(rows, "t", wanted="termination").collect()}
+    assert wanted[0] == ["amount"] and wanted[2] == ["termination_clause"] and wanted[3] == ["clause_text"]
 
 
 def test_facts_keep_other_columns(spark):
