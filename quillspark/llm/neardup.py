@@ -47,8 +47,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 @lru_cache(1)
 def _letters() -> np.ndarray:
     """By code point: its lower case, 0 where it is no letter or digit."""
-    out = np.zeros(0x30000, np.uint32)
-    for c in range(0x30000):
+    out = np.zeros(0x33480, np.uint32)
+    for c in range(0x33480):
         if (ch := chr(c)).isalnum():
             low = ch.lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -57,7 +57,7 @@ def _letters() -> np.ndarray:
 
 def word_hashes(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 32-bit hash of each word of all rows, and the offsets of the rows in words."""
-    low = _letters()[np.minimum(codes, 0x2FFFF)]
+    low = _letters()[np.minimum(codes, 0x3347F)]
     inside = low > 0
     first = np.zeros(len(codes) + 1, bool)
     first[offsets] = True
@@ -163,12 +163,26 @@ def _words_of(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _sketched(classes: DataFrame, k: int, picked: int, sketches: int) -> DataFrame:
+def _sketched(classes: DataFrame, k: int, picked: int, sketches: int, crowd: int) -> DataFrame:
+    """(sketch, cid): the entries of buckets. Of a bucket that is crowded within a batch already only ``crowd`` + 1 entries go on as such.
+
+    The others, whose bucket is thereby known to be crowded, come as entries of their own, with
+    -1 - cid, so a bucket that many classes share isn't brought to one task.
+    """
+
     def run(batches):
         for batch in batches:
-            values = order_sketches(*_words_of(batch.column("words")), k, picked, sketches)
+            values = order_sketches(*_words_of(batch.column("words")), k, picked, sketches).reshape(-1).view(np.int64)
             cid = np.repeat(batch.column("cid").to_numpy(), sketches)
-            yield pa.RecordBatch.from_arrays([pa.array(values.reshape(-1).view(np.int64)), pa.array(cid)], names=["sketch", "cid"])
+            order = np.argsort(values, kind="stable")
+            values, cid = values[order], cid[order]
+            begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+            place = np.arange(len(values)) - np.repeat(begins, np.diff(np.append(begins, len(values))))
+            alone = place > crowd
+            if alone.any():
+                values = np.where(alone, mix(cid.view(np.uint64)).view(np.int64), values)
+                cid = np.where(alone, -1 - cid, cid)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(cid)], names=["sketch", "cid"])
 
     return classes.select("cid", "words").mapInArrow(run, "sketch long, cid long")
 
@@ -186,8 +200,10 @@ def _met(entries: DataFrame, crowd: int, apart: int) -> DataFrame:
         carry_s, carry_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
         crowded = None  # the bucket at hand, once it is known to be crowded
         for batch in batches:
-            s = np.concatenate([carry_s, batch.column("sketch").to_numpy()])
-            c = np.concatenate([carry_c, batch.column("cid").to_numpy()])
+            s, c = batch.column("sketch").to_numpy(), batch.column("cid").to_numpy()
+            told = c < 0
+            yield from lone(-1 - c[told])
+            s, c = np.concatenate([carry_s, s[~told]]), np.concatenate([carry_c, c[~told]])
             alone = np.zeros(0, np.int64)
             if crowded is not None:
                 stay = int(np.searchsorted(s != crowded, True)) if (s != crowded).any() else len(s)
@@ -204,6 +220,10 @@ def _met(entries: DataFrame, crowd: int, apart: int) -> DataFrame:
                 yield from bucket(s, c, alone)
         yield from bucket(carry_s, carry_c, np.zeros(0, np.int64))
 
+    def lone(c):
+        if len(c):
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64())], names=["cid_a", "cid_b"])
+
     def bucket(s, c, alone):
         if len(s):
             begins = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
@@ -211,8 +231,7 @@ def _met(entries: DataFrame, crowd: int, apart: int) -> DataFrame:
             big = np.repeat(sizes > crowd, sizes)
             alone = np.concatenate([alone, c[big]])
             s, c = s[~big], c[~big]
-        if len(alone):
-            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64())], names=["cid_a", "cid_b"])
+        yield from lone(alone)
         for d in range(1, crowd):
             same = s[d:] == s[:-d] if len(s) > d else np.zeros(0, bool)
             if not same.any():
@@ -323,7 +342,7 @@ def near_copies(df: DataFrame, key: str, text: str, threshold: float = 0.8, leas
     cid = F.conv(F.substring(F.hex("form"), 1, 13), 16, 10).cast("long") * 256 + step
     classes = materialize(rows.groupBy("form").agg(F.first("n").alias("n"), F.first("words").alias("words")).withColumn("cid", cid), "classes")
     apart = math.floor(math.log(1 / threshold) / math.log(SIZE_STEP)) + 1
-    candidates = materialize(_met(_sketched(classes, k, picked, sketches), crowd, apart).distinct(), "candidates")
+    candidates = materialize(_met(_sketched(classes, k, picked, sketches, crowd), crowd, apart).distinct(), "candidates")
     hot = candidates.where("cid_b is null").select(F.col("cid_a").alias("cid"))
     candidates = candidates.where("cid_a < cid_b").unionByName(_crowded(classes, hot, threshold)).distinct()
     left = classes.select(F.col("cid").alias("cid_a"), F.col("form").alias("form_a"), F.col("n").alias("n_a"), F.col("words").alias("words_a"))

@@ -109,11 +109,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(left_id, right_id): all pairs within the classes of ``members(key, form)`` and between those of ``links(form_a, form_b)``."""
+    """(left_id, right_id): all pairs within the classes of ``members(key, form)`` and between those of ``links(form_a, form_b)``.
+
+    Classes of over COPIES ids are parted in blocks of about so many, and blocks are paired, so no
+    task has all of a large class, nor all pairs of two large ones.
+    """
     sizes = members.groupBy("form").agg(F.count("*").alias("size")).where("size > 1")
-    a, b = (members.select(F.col("form").alias(f"form_{x}"), F.col("key").alias(x)) for x in "ab")
-    between = links.select("form_a", "form_b").join(a, "form_a").join(b, "form_b").select("a", "b")
     blocks = F.ceil(F.col("size") / COPIES).cast("long")
+    large = sizes.where(F.col("size") > COPIES).select("form", blocks.alias("blocks"))
+    one = F.coalesce("blocks", F.lit(1).cast("long"))
+    placed = members.join(large, "form", "left").select("form", "key", F.pmod(F.xxhash64("key"), one).alias("block"))
+    wide = links.select("form_a", "form_b")
+    for x in "ab":
+        wide = wide.join(large.select(F.col("form").alias(f"form_{x}"), F.col("blocks")), f"form_{x}", "left").withColumn(f"block_{x}", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("blocks")
+    a, b = (placed.select(F.col("form").alias(f"form_{x}"), F.col("block").alias(f"block_{x}"), F.col("key").alias(x)) for x in "ab")
+    between = wide.join(a, ["form_a", "block_a"]).join(b, ["form_b", "block_b"]).select("a", "b")
     # each id goes, from either side, to the pairs of its own block with every block
     copies = members.join(sizes, "form").withColumn("own", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     left = copies.select("form", F.col("own").alias("block_a"), F.col("other").alias("block_b"), F.col("key").alias("a"))
