@@ -328,7 +328,7 @@ def train(rows: list[str], rounds: int = 8, portion: int = 96, l2: float = 2e-4,
 
 
 @lru_cache(2)
-def tagger(copies: int = 20) -> Tagger:
+def tagger(copies: int = 14) -> Tagger:
     """The tagger trained on the labelled table, ``copies`` fillings of each of its patterns."""
     return train(pii_table.rows(copies))
 

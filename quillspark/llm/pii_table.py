@@ -53,6 +53,16 @@ WITHOUT = [
 ]
 
 
+#: The same of everyday writing, which shares no sentence with business papers: so that words around a mention are of many kinds.
+EVERYDAY = [
+    "Best wishes,\n{N}", "Kind regards\n{N}\n{P}", "Yours sincerely, {N}", "Cordialement,\n{N}", "Bien à vous, {N}", "Signed: {N}", "Signature : {N}", "Name: {N}", "Nom : {N}", "Full name: {N}", "Nom et prénom : {N}", "Client: {N}", "Tenant: {N}, {A}", "Our manager {N} will visit {C} on {D}.", "{N} joined the firm in 2019.", "{N} has been appointed director of {F}.", "{N}, director of {F}, said so on {D}.", "We met {N} and {N} in {C}.", "Nous avons rencontré {N} et {N} à {C}.", "Le rapport de {N} date du {D}.", "{N} travaille chez {F} depuis le {D}.", "the witness {N} stated that it was late", "the driver {N} left at noon", "le chauffeur {N} est parti", "the tenant, {N}, pays on {D}", "Prepared by: {N}", "Préparé par {N} le {D}", "cc: {N}; {N}", "To: {N} <{E}>", "From: {N} <{E}>", "De : {N} <{E}>", "I spoke with {N} yesterday.", "J'ai parlé à {N} hier.", "{N} wrote: the {s} is late.", "{N} : le {t} est en retard.", "Thanks to {N} for the {s}.", "Merci à {N} pour le {t}.", "our colleague {N} replied on {D}", "notre collègue {N} a répondu", "as {N} explained", "comme {N} l'a expliqué", "{N} and {N} agreed on {D}.", "Present: {N}, {N}, {N}", "Présents : {N}, {N}", "Author: {N}", "Reviewer {N}, {F}", "{N} did not attend.", "{N} n'est pas venu.", "{N} asked {F} for the {s}.", "{F} thanked {N} for it.", "on behalf of {F}, {N}", "pour {F}, {N}", "handed to {N} at {C}", "remis à {N} à {C}", "{N} accepted the {s} of {F}.", "{N} a accepté le {t} de {F}.", "signed by {N}", "signé par {N}",
+    "His number is {P}.", "Her telephone number is {P}", "Son numéro est le {P}.", "telephone {P}", "téléphone : {P}", "Ring {P} after six.", "SMS to {P}", "Hotline {P} (24 h)", "Emergency number: {P}", "numéro d'urgence : {P}", "P: {P} | E: {E}", "T {P} F {P}", "fax number {P}", "Cell {P}", "Portable : {P}", "call me on {P}", "rappelez-moi au {P}", "{P} or {P}", "{P} / {P}", "reach us at {P}, Monday to Friday", "{N}: {P}", "{N} - {P}", "{N}, {P}, {E}", "Reception: {P}; stores: {P}", "Accueil {P}", "the caller used {P}", "dial {P} for help", "composez le {P}", "{S} {P}", "our fax is {P}", "voir {E} ou {P}", "between nine and five on {P}", "aux heures ouvrables : {P}",
+    "{E}", "Reply to {E} by {D}.", "Répondre à {E} avant le {D}.", "my address is {E}", "send the {s} to {E}", "{N} lives at {A}.", "{N} habite au {A}.", "Registered office: {A}", "Siège social : {A}", "The house at {A} was sold on {D}.", "Rendez-vous au {A}.", "ship to {A}", "{A}", "moved from {A} to {A}", "His {I} expires on {D}.", "Document checked: {I}", "Pièce présentée : {I}", "she showed {I}", "{I}, issued at {C}", "{I}, délivrée à {C}", "born on {D}, {I}", "{N}, {I}, {A}",
+]
+#: Everyday writing without mentions.
+EVERYDAY_WITHOUT = ["Kind regards,\n{F}", "Cordialement,\n{F}", "The board of {F} met in {C}.", "{F} has an office in {C}.", "We met in {C} on {D}.", "Name: {s}", "Client: {F}", "From: {F}", "Present: the buyers, the sellers", "Serial number {O}", "Account 00123 4567 8900", "the {s} of {F} and the {s} of {F}", "signed by both parties at {C}", "signé par les deux parties à {C}", "handed to {F}", "remis à {F} le {D}", "call number {R}", "numéro {O}", "number {O}, sheet 4", "ask for the {s}", "according to {F}", "selon {F}", "Author: {F}", "Batch {B}, {O}", "between {q} and {q}", "total {q}, of which {q}", "{h} of {C}", "{h}, {D}", "Dear customer,", "Madame, Monsieur,"]
+
+
 def _place(r: random.Random) -> str:
     return r.choice(ONSET) + r.choice(MIDDLE) + r.choice(CITY_END) if r.random() < 0.8 else f"{r.choice(['Saint', 'Mont', 'Val'])}-{r.choice(ONSET)}{r.choice(MIDDLE)}{r.choice(CITY_END)}"
 
@@ -184,9 +194,12 @@ def _fill(pattern: str, r: random.Random) -> str:
     return re.sub(r"\{([A-Za-z])\}(?!\})", slot, pattern)
 
 
-def rows(copies: int = 20, seed: int = 7) -> list[str]:
-    """The labelled sentences: every pattern ``copies`` times with other parts."""
+def rows(copies: int = 14, seed: int = 7, part: tuple[int, int] | None = None) -> list[str]:
+    """The labelled sentences: every pattern ``copies`` times with other parts; with ``part`` (k, n) only every n-th pattern from k on."""
     r = random.Random(seed)
-    out = [_fill(p, r) for _ in range(copies) for p in WITH + WITHOUT]
+    patterns = WITH + WITHOUT + EVERYDAY + EVERYDAY_WITHOUT
+    # neighbours in the list are alike, so they go to one part
+    some = [p for i, p in enumerate(patterns) if part is None or (i // 4) % part[1] == part[0]]
+    out = [_fill(p, r) for _ in range(copies) for p in some]
     r.shuffle(out)
     return out
