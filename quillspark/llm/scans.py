@@ -245,7 +245,8 @@ class Words:
 
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
-        self._known: dict[str, str | None] = {}
+        #: What chunks that were looked at should read, None where nothing is wrong.
+        self.known_chunks: dict[str, str | None] = {}
 
     def __getstate__(self):
         return self.counts
@@ -274,11 +275,11 @@ class Words:
 
     def repaired(self, chunk: str) -> str | None:
         """``chunk``, a run without white space, as it should read, or None if nothing is wrong."""
-        if chunk in self._known:
-            return self._known[chunk]
-        if len(self._known) > 300_000:
-            self._known = {}
-        self._known[chunk] = fixed = self._repair(chunk)
+        if chunk in self.known_chunks:
+            return self.known_chunks[chunk]
+        if len(self.known_chunks) > 300_000:
+            self.known_chunks.clear()
+        self.known_chunks[chunk] = fixed = self._repair(chunk)
         return fixed
 
     def _repair(self, chunk: str) -> str | None:
@@ -389,21 +390,52 @@ def _cased(word: str, true: str) -> str:
     return word[:a] + middle + word[len(word) - b :]
 
 
+_HYPHENS = set(HYPHENS)
 _END = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*$")
 _BEGIN = re.compile(r"\s*([^\W_]+)")
 
 
-def examine(pages: list[Page], states: list[str], words: Words, within: bool = False):
+def _misread_line(k: int, join: tuple[int, str, str], whole: str, fixed: str) -> int:
+    """The line of a misread divided word in which its first wrong character stands."""
+    at = next((x for x, (p, q) in enumerate(zip(whole, fixed)) if p.lower() != q.lower()), len(whole) - 1)
+    return k if at < len(join[1]) else join[0]
+
+
+def _misread(kinds: list[list[str]], body: list[int], lines: list, joins: dict, into: dict, words: Words) -> None:
+    """Add to ``kinds`` the body lines with a misread word."""
+    known, repaired = words.known_chunks, words.repaired
+    for k in body:
+        chunks = lines[k][3].split()
+        begin, end = int(k in into), len(chunks)
+        if k in joins and begin < end:
+            end -= 1
+            whole = joins[k][1] + joins[k][2]
+            if fixed := repaired(whole):
+                kinds[_misread_line(k, joins[k], whole, fixed)].append("misread")
+        elif end > begin and chunks[-1][-1] in _HYPHENS and len(chunks[-1]) > 1:
+            end -= 1
+        wrong = False
+        for chunk in chunks[begin:end]:
+            fixed = known.get(chunk, "")
+            if fixed == "":
+                fixed = repaired(chunk)
+            wrong = wrong or fixed is not None
+        if wrong:
+            kinds[k].append("misread")
+
+
+def examine(pages: list[Page], states: list[str], words: Words, within: bool = False, texts: bool = True):
     """(kinds, paragraphs): the noise of each line of running text, and the repaired paragraphs as (element of first line, text).
 
     With ``within``, a paragraph ends with its element, but for the rest of a word divided there.
+    Without ``texts`` only the noise is told.
     """
     lines = [(n, e, j, line) for n, page in enumerate(pages) for e, j, line, text in page.lines if text]
     kinds: list[list[str]] = [[] for _ in lines]
     body = [k for k, s in enumerate(states) if s in ("body", "break") and lines[k][3].strip()]
     joins: dict[int, tuple[int, str, str]] = {}
     for a, b in zip(body, body[1:] + [-1]):
-        m = _END.search(lines[a][3])
+        m = _END.search(lines[a][3]) if lines[a][3].rstrip()[-1:] in _HYPHENS else None
         if m and b >= 0 and (w := _BEGIN.match(lines[b][3])):
             if words.divided(unicodedata.normalize("NFC", m[1].translate(_CLEAN)), unicodedata.normalize("NFC", w[1].translate(_CLEAN))):
                 kinds[a].append("hyphen")
@@ -413,6 +445,9 @@ def examine(pages: list[Page], states: list[str], words: Words, within: bool = F
     for k, state in enumerate(states):
         if state in ("header", "page_no"):
             kinds[k] = [state]
+    if not texts:
+        _misread(kinds, body, lines, joins, into, words)
+        return kinds, []
     for k in body:
         n, e, j, line = lines[k]
         chunks = line.split()
@@ -428,8 +463,7 @@ def examine(pages: list[Page], states: list[str], words: Words, within: bool = F
                 whole = joins[k][1] + joins[k][2]
                 fixed = words.repaired(whole)
                 if fixed:
-                    at = next((x for x, (p, q) in enumerate(zip(whole, fixed)) if p.lower() != q.lower()), len(whole) - 1)
-                    kinds[k if at < len(joins[k][1]) else joins[k][0]].append("misread")
+                    kinds[_misread_line(k, joins[k], whole, fixed)].append("misread")
                 out.append(head + (fixed or whole))
                 continue
             if i == len(chunks) - 1 and chunk[-1:] in HYPHENS and len(chunk) > 1:
@@ -576,8 +610,8 @@ def _labelled(df: DataFrame) -> DataFrame:
                 bare = [_bare(md) if md and starts is None else [] for _, _, starts, md in documents]
                 both, asks = (label_lines([pages for _, pages, _, _ in documents]), label_lines(bare)), []
                 for (_, pages, _, _), b, states, bare_states in zip(documents, bare, *both):
-                    examine(pages, states, asked)
-                    examine(b, bare_states, asked)
+                    examine(pages, states, asked, texts=False)
+                    examine(b, bare_states, asked, texts=False)
                     asks.append(asked.new)
                     asked.new = []
                 digits = [pa.array(["".join(str(STATES.index(s)) for s in states) for states in some], pa.string()) for some in both]
@@ -616,7 +650,7 @@ def _run(df: DataFrame, words: Words, emit, schema: str) -> DataFrame:
 
 def _found(words, id_, pages, starts, md, states, bare, bare_states):
     lines = [(n, e, j) for n, page in enumerate(pages) for e, j, _, text in page.lines if text]
-    kinds, _ = examine(pages, states, words)
+    kinds, _ = examine(pages, states, words, texts=False)
     for (n, e, j), found in zip(lines, kinds):
         for kind in set(found):
             yield f"l:{id_}:p{n + 1}:e{e}", kind, j + 1
@@ -624,7 +658,7 @@ def _found(words, id_, pages, starts, md, states, bare, bare_states):
                 yield f"m:{id_}", kind, starts[(n, e)] + j
     if bare:
         lines = [(e, j) for page in bare for e, j, _, text in page.lines if text]
-        for (line, j), found in zip(lines, examine(bare, bare_states, words)[0]):
+        for (line, j), found in zip(lines, examine(bare, bare_states, words, texts=False)[0]):
             for kind in set(found):
                 yield f"m:{id_}", kind, line + j
 
