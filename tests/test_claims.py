@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quillspark.plans import review, search
+from quillspark.plans import search
 
 CLAIM = "Within 29 days of every default licence, any verified cable shall be paid under clause 26.16."
 
@@ -48,10 +48,27 @@ def test_whole_claims_are_searched(spark, folder, how):
 
 def test_own_document_is_not_crowded_out(spark, folder):
     """Sixty copies of the claim stand in other documents; its own document gives its best three all the same."""
-    hits = search.R.by_side(search.corpus(spark, folder), search.claims(spark, folder), 3).where("query_id = '100'").collect()
-    assert [h.id for h in sorted(hits, key=lambda h: (h.side, h["rank"]))] == ["a", "b", "z00", "z01", "z02"]
-    texts = {r.id: (r.document_id, r.text) for r in search.corpus(spark, folder).collect() if r.text}
-    assert {h.id: h.score for h in hits} == {h.id: pytest.approx(brute("baseline", CLAIM, texts[h.id][1]), abs=2e-6) for h in hits}
-    row = review.claimed(spark, folder).where("claim_id = '100'").first()
-    assert row.left_id == "a" and row.right_id == "z00"
-    assert search.R.by_side(search.corpus(spark, folder), search.claims(spark, folder).where("false")).count() == 0
+    claims, rows = search.claims(spark, folder), search.corpus(spark, folder)
+    hits = search.R.keyword(rows, claims, 3, "baseline", "document_id").where("query_id = '100'").orderBy("rank").collect()
+    assert [h.id for h in hits] == ["a", "b"]
+    texts = {r.id: r.text for r in rows.collect() if r.text}
+    assert {h.id: h.score for h in hits} == {h.id: pytest.approx(brute("baseline", CLAIM, texts[h.id]), abs=2e-6) for h in hits}
+    grounded = search.grounded(spark, folder).collect()
+    assert {(r.query_id, r.document_id, r.mode) for r in grounded} == {("100", "own", "index"), ("200", "own", "index")}
+    assert search.R.keyword(rows, claims.where("false"), 3, "lexical", "document_id").count() == 0
+
+
+def test_words_within_words(spark):
+    """rg by words of the corpus against looking for each token in each text."""
+    rows = [("a", "Résiliation 12-A abcdef"), ("b", "xabx ab b"), ("c", ""), ("d", None), ("e", "zz 1212")]
+    asked = [("1", "ab"), ("2", "b b 12"), ("3", "siliation zzz"), ("4", "é"), ("5", "bcd a")]
+    df, q = spark.createDataFrame(rows, "id string, text string"), spark.createDataFrame(asked, "query_id string, query string")
+    got = {(r.query_id, r.id): r.score for r in search.R.keyword(df, q, 9, "rg").collect()}
+    want = {(i, d): pytest.approx(round(brute("rg", c, t), 6)) for i, c in asked for d, t in rows if t and re.findall("[a-z0-9]+", c) and brute("rg", c, t)}
+    assert got == want
+
+
+def test_short_queries_count_as_phrases(spark):
+    rows = spark.createDataFrame([("a", "ab c"), ("b", "xaby")], "id string, text string")
+    got = search.R.keyword(rows, spark.createDataFrame([("1", "AB")], "query_id string, query string"), 9).collect()
+    assert [(r.id, r.score) for r in got] == [("a", 0.45)]

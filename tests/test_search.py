@@ -65,13 +65,24 @@ def test_fusion(spark):
     assert [(r.id, r.score) for r in out] == [("a", 0.443238), ("c", 0.32504), ("b", 0.003105)] and out[0].sources == ["lexical", "semantic"]
 
 
-def test_blocks_give_the_same_hits(spark):
+def test_queries_do_not_meddle(spark):
     q = asked(spark, "budget millions", "livraison date", "10")
     whole = {tuple(r) for r in R.keyword(corpus(spark), q, 3).collect()}
-    assert {tuple(r) for r in R.keyword(corpus(spark), q, 3, block=1).collect()} == whole and whole
+    assert {tuple(r) for i in range(3) for r in R.keyword(corpus(spark), q.where(f"query_id = 'q{i}'"), 3).collect()} == whole and whole
     assert R.keyword(corpus(spark).where("false"), q).count() == 0 and R.keyword(corpus(spark), q.where("false")).count() == 0
 
 
+def test_patterns_mean_the_same(spark):
+    """What Python's expressions match is what the JVM is asked for: letters of any script, named groups, ends."""
+    texts = [("a", "é1 ünd"), ("b", "x-x 7"), ("c", "end\nEND"), ("d", "[b]&&")]
+    df = spark.createDataFrame(texts, "id string, text string")
+    for pattern in (r"\bé\d\b", r"(?P<l>\w)-(?P=l)", r"END\Z", r"[[b]+\]", r"[]&]{2}", r"^\w\d", r"/^end/im", r"\w+\s\w+"):
+        is_regex, plain, flags = planner.parse(pattern)
+        want = {i for i, t in texts if re.search(plain, t, flags)}
+        assert {r.id for r in R.regex(df, pattern, None).collect()} == want, pattern
+    assert not planner.plan(r"(a)(?(1)b|c)").valid
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [1.0, 1.0]), ("z", [0.0, 0.0]), ("n", None), ("w", [1.0])], "id string, vector array<double>")
     q = spark.createDataFrame([("q", [1.0, 0.2])], "query_id string, vector array<double>")
