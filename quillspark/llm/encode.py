@@ -136,3 +136,19 @@ def with_token_ids(df: DataFrame, text: str = "text", out: str = "ids", name: st
     joined = coded.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
     stitched = long.join(joined, "uid").drop("uid").toDF(*df.columns, out)
     return short.unionByName(stitched)
+
+
+def with_text(df: DataFrame, ids: str, out: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+    """``df`` with the text of a column of token ids: the raw bytes of the tokens, one after another; null for null."""
+    base = df.drop(out)
+    kept = [f"c{i}" for i in range(len(base.columns))]
+    which = kept[base.columns.index(ids)]
+    source = base.toDF(*kept)
+    schema = T.StructType([*source.schema.fields, T.StructField("made", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            made = [None if x is None else decode(x, name, folder) for x in batch.column(which).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=schema.names)
+
+    return source.mapInArrow(run, schema).toDF(*base.columns, out)

@@ -40,6 +40,17 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("item_kind", "item_key", "piece_no", "new_pos", "start_pos", "end_pos", "piece").distinct()
 
 
+def p1_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item over the limit put together again from its pieces: the digest of the text, and whether each piece fits and begins where the last one ended, less the overlap."""
+    items = p1_items(spark, folder).withColumn("digest", F.md5("content"))
+    pieces = split.with_pieces(items, "content", "max_chars", "overlap_chars").select("item_kind", "item_key", "digest", "max_chars", "overlap_chars", "piece_no", "new_pos", "start_pos", "end_pos", "piece").distinct()
+    fresh = F.substr("piece", F.col("new_pos") - F.col("start_pos") + 1)
+    fits = (F.char_length("piece") <= F.col("max_chars")) & ((F.col("piece_no") == 0) | (F.col("new_pos") - F.col("start_pos") == F.col("overlap_chars")))
+    # a group is one text
+    parts = pieces.groupBy("item_kind", "item_key", "digest").agg(F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("new")))).alias("parts"), F.bool_and(fits).alias("fits"))
+    return parts.select("item_kind", "item_key", F.md5(F.array_join(F.transform("parts", lambda p: p["new"]), "")).alias("digest"), "fits").distinct()
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items that came out in more than one piece."""
     pieces = split.with_pieces(p1_items(spark, folder), "content", "max_chars", "overlap_chars")
@@ -151,6 +162,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.with_token_ids(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of each document's text as its token ids give it back; of an empty text for null ones."""
+    return encode.with_text(p7_ids(spark, folder), "ids").select("doc_id", F.md5("text").alias("digest"), F.char_length("text").alias("chars"))
+
+
 def _sized_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, n_tokens, container_kind, capacity_tokens): every document with every kind of container."""
     coded = encode.with_token_ids(table(spark, folder, "documents").select("doc_id", "text"))
@@ -195,9 +211,11 @@ def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p1_whole": p1_whole,
         "p6_found": p6_found,
         "p6_groups": p6_groups,
         "p7_ids": p7_ids,
+        "p7_decoded": p7_decoded,
         "p8_containers": p8_containers,
         "p8_fill": p8_fill,
         "p9_found": p9_found,

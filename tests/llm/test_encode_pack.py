@@ -88,3 +88,10 @@ def test_containers(spark):
     assert max(load.values()) <= 10 and sorted((r.key, r.part, r.begin, r.size) for r in out if r.key == 1) == [(1, 0, 0, 10), (1, 1, 10, 10), (1, 2, 20, 5)]
     assert sorted({r.key for r in out}) == [1, 2, 3, 4, 5, 6] and len([r for r in out if r.key == 6]) == 1
     assert pack.with_containers(df.where("false"), "key", "n", "capacity", "kind").count() == 0
+
+
+def test_ids_give_the_text_back(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, text string")
+    coded = encode.with_token_ids(df).withColumnRenamed("text", "made").unionByName(spark.createDataFrame([(99, None, None)], "i int, made string, ids array<int>"))
+    out = {r.i: r for r in encode.with_text(coded, "ids", "text").collect()}
+    assert all(out[i].text == (t or "") and out[i].made == t for i, t in enumerate(ODD)) and out[99].text is None

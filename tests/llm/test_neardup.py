@@ -88,3 +88,16 @@ def test_large_classes_come_out_as_all_pairs(spark):
     got = [tuple(r) for r in queries.p6_pairs(*N.near_copies(df, "id", "t", 0.6, 24)).collect()]
     want = {(x, y) for (x, _), (y, _) in itertools.combinations(rows, 2) if x[0] == y[0]}
     assert set(got) == want and len(got) == len(want) == 15271
+
+
+def test_crowded_buckets_stay_apart(spark):
+    """Texts that share a passage, more in a batch than a bucket may hold, give the links of brute force."""
+    r = random.Random(5)
+    passage = " ".join(r.choice(WORDS) for _ in range(60))
+    rows = [(f"p{k:03}", f"{passage} " + " ".join(r.choice(WORDS) for _ in range(12 + 40 * (k % 2)))) for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, t string").coalesce(1)
+    members, links = N.near_copies(df, "id", "t", 0.6, 24, crowd=5)
+    form = {r.key: bytes(r.form) for r in members.collect()}
+    sets = {i: grams(t) for i, t in rows}
+    want = {frozenset((form[a], form[b])) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert {frozenset((bytes(x.form_a), bytes(x.form_b))) for x in links.collect()} == want and len(want) > 100

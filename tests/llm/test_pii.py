@@ -54,3 +54,13 @@ def test_tables(spark):
     texts = {r.c0: r.redacted for r in pii.with_placeholders(df, "t").collect()}
     assert texts == {1: "ask for Mr [NAME].", 2: None, 3: ""}
     assert pii.mentions(df.where("false"), "t").count() == 0
+
+
+def test_unseen_sentences():
+    """Trained on half of the sentence patterns, tested on the other half: what the tagger knows of sentences it has never seen."""
+    model = pii.train(pii_table.rows(10, part=(1, 2)))
+    tokens, gold = pii._labelled(pii_table.rows(3, seed=99, part=(0, 2)))
+    got = model.labels(tokens)
+    for k in range(1, len(pii.LABELS)):
+        hit = ((got == k) & (gold == k)).sum()
+        assert hit / (gold == k).sum() > 0.75 and hit / (got == k).sum() > 0.8, pii.LABELS[k]
