@@ -174,11 +174,12 @@ def _sketched(classes: DataFrame, k: int, picked: int, sketches: int, crowd: int
         for batch in batches:
             values = order_sketches(*_words_of(batch.column("words")), k, picked, sketches).reshape(-1).view(np.int64)
             cid = np.repeat(batch.column("cid").to_numpy(), sketches)
+            # entries stay in the order of their classes, in which they take least room on the way
             order = np.argsort(values, kind="stable")
-            values, cid = values[order], cid[order]
-            begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-            place = np.arange(len(values)) - np.repeat(begins, np.diff(np.append(begins, len(values))))
-            alone = place > crowd
+            ranked = values[order]
+            begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+            alone = np.zeros(len(values), bool)
+            alone[order] = np.arange(len(values)) - np.repeat(begins, np.diff(np.append(begins, len(values)))) > crowd
             if alone.any():
                 values = np.where(alone, mix(cid.view(np.uint64)).view(np.int64), values)
                 cid = np.where(alone, -1 - cid, cid)
