@@ -112,6 +112,10 @@ def _firsts(found: Column) -> Column:
     return F.filter(found, lambda x, i: F.array_position(keys, x["normalized"]) == i + 1)
 
 
+def _same(batches):
+    yield from batches
+
+
 def with_facts(df: DataFrame, text: str, out: str = "facts", wanted: str | Column | None = None) -> DataFrame:
     """``df`` with the facts of ``text`` as an array, each fact once; null texts have none.
 
@@ -141,7 +145,9 @@ def with_facts(df: DataFrame, text: str, out: str = "facts", wanted: str | Colum
     first = first_sentence_with("_text", ())
     clause = F.array(_fact("clause_text", trimmed(first), normalized(first), F.when(asked == "", F.lit("general")).otherwise(asked), 0.5))
     rows = rows.withColumn(out, F.when((F.size(out) == 0) & F.col("_text").rlike(MODAL), clause).otherwise(F.col(out)).cast(FACT))
-    return rows.select(*df.drop(out).columns, out)
+    made = rows.select(*df.drop(out).columns, out)
+    # the batches pass as they are: filters on the facts must not be moved below, where each would work them all out again
+    return made.mapInArrow(_same, made.schema)
 
 
 def type_bits(facts: Column) -> Column:
