@@ -85,8 +85,9 @@ def contained(corpus: DataFrame, queries: DataFrame, *within: str) -> DataFrame:
     starts = [F.regexp_extract_all("word", F.lit(f"(?=(.{{{n}}}))"), 1) for n in (1, 2, 3)]
     grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*starts))).alias("gram"))
     inside = tok.select("token").distinct().withColumn("gram", F.left("token", F.lit(3))).join(grams, "gram").where(F.contains("word", F.col("token"))).select("token", "word").distinct()
-    wanted = tok.join(inside, "token")
-    found = words.join(wanted, ["word", *within]).select(*side, "id", "token", "weight").distinct()
+    # texts are met with tokens first, then those with the queries, of which many share a token
+    held = words.join(inside, "word").select("id", *within, "token").distinct()
+    found = held.join(tok, ["token", *within]).select(*side, "id", "token", "weight")
     return found.groupBy(*side, "id").agg(F.sum("weight").cast("int").alias("tok")).join(sizes, side)
 
 
