@@ -55,7 +55,7 @@ def _pairs(*_):
 
 
 #: Queries that ranked from a shuffled table of all pairs, or from an index made for them.
-RANKED = ["search_lexical_topk", "search_baseline_topk"]
+RANKED = ["search_lexical_topk", "search_baseline_topk", "search_rg_topk"]
 
 
 @pytest.mark.parametrize("name", RANKED)
