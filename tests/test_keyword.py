@@ -55,7 +55,7 @@ def _pairs(*_):
 
 
 #: Queries that ranked from a shuffled table of all pairs, or from an index made for them.
-RANKED = ["search_lexical_topk", "search_baseline_topk", "search_rg_topk", "search_overfetched", "search_filtered", "evl_hits", "search_dispatched", "search_fused", "search_hybrid", "evl_keyword_strategies", "evl_retrieval", "evl_strategies"]
+RANKED = ["search_lexical_topk", "search_baseline_topk", "search_rg_topk", "search_overfetched", "search_filtered", "evl_hits", "search_dispatched", "search_fused", "search_hybrid", "evl_keyword_strategies", "evl_retrieval", "evl_strategies", "evl_best_strategy"]
 
 
 @pytest.mark.parametrize("name", RANKED)
