@@ -21,3 +21,8 @@ def asked(spark, folder, name):
 
 def test_best_strategy_of_every_claim(spark, folder):
     assert [tuple(r) for r in asked(spark, folder, "evl_best_strategy")] == [("baseline", 1.0)]
+
+
+def test_keyword_strategies_over_every_claim(spark, folder):
+    got = {r.strategy: (r.queries, r.recall, r.mrr) for r in asked(spark, folder, "evl_keyword_strategies")}
+    assert got == dict.fromkeys(("baseline", "lexical", "rg"), (3, 1.0, 1.0))
