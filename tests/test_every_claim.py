@@ -26,3 +26,7 @@ def test_best_strategy_of_every_claim(spark, folder):
 def test_keyword_strategies_over_every_claim(spark, folder):
     got = {r.strategy: (r.queries, r.recall, r.mrr) for r in asked(spark, folder, "evl_keyword_strategies")}
     assert got == dict.fromkeys(("baseline", "lexical", "rg"), (3, 1.0, 1.0))
+
+
+def test_retrieval_of_every_claim(spark, folder):
+    assert {(r.query_id, r.relevant, r.found, r.recall) for r in asked(spark, folder, "evl_retrieval")} == {(q, 1, 1, 1.0) for q in ("1", "7", "150")}
