@@ -30,3 +30,8 @@ def test_keyword_strategies_over_every_claim(spark, folder):
 
 def test_retrieval_of_every_claim(spark, folder):
     assert {(r.query_id, r.relevant, r.found, r.recall) for r in asked(spark, folder, "evl_retrieval")} == {(q, 1, 1, 1.0) for q in ("1", "7", "150")}
+
+
+def test_strategies_over_every_claim(spark, folder):
+    got = {r.strategy: (r.queries, r.recall) for r in asked(spark, folder, "evl_strategies")}
+    assert got == dict.fromkeys(("baseline", "lexical", "semantic", "hybrid", "rg"), (3, 1.0))
