@@ -35,3 +35,8 @@ def test_retrieval_of_every_claim(spark, folder):
 def test_strategies_over_every_claim(spark, folder):
     got = {r.strategy: (r.queries, r.recall) for r in asked(spark, folder, "evl_strategies")}
     assert got == dict.fromkeys(("baseline", "lexical", "semantic", "hybrid", "rg"), (3, 1.0))
+
+
+def test_every_claim_is_dispatched(spark, folder):
+    """The first claim ends with a full stop, so it is an expression; the others are words."""
+    assert {(r.query_id, r.id) for r in asked(spark, folder, "search_dispatched") if r.rank == 1} == {("1", "a:1"), ("7", "b:1"), ("150", "c:1")}
