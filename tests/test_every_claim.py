@@ -40,3 +40,8 @@ def test_strategies_over_every_claim(spark, folder):
 def test_every_claim_is_dispatched(spark, folder):
     """The first claim ends with a full stop, so it is an expression; the others are words."""
     assert {(r.query_id, r.id) for r in asked(spark, folder, "search_dispatched") if r.rank == 1} == {("1", "a:1"), ("7", "b:1"), ("150", "c:1")}
+
+
+def test_every_claim_is_fused(spark, folder):
+    got = {(r.query_id, r.id, r.sources) for r in asked(spark, folder, "search_fused") if r.rank == 1}
+    assert got == {("1", "a:1", "lexical,semantic"), ("7", "b:1", "lexical,semantic"), ("150", "c:1", "lexical,semantic")}
