@@ -45,3 +45,7 @@ def test_every_claim_is_dispatched(spark, folder):
 def test_every_claim_is_fused(spark, folder):
     got = {(r.query_id, r.id, r.sources) for r in asked(spark, folder, "search_fused") if r.rank == 1}
     assert got == {("1", "a:1", "lexical,semantic"), ("7", "b:1", "lexical,semantic"), ("150", "c:1", "lexical,semantic")}
+
+
+def test_hybrid_search_of_every_claim(spark, folder):
+    assert {(r.query_id, r.id) for r in asked(spark, folder, "search_hybrid") if r.rank == 1} == {("1", "a:1"), ("7", "b:1"), ("150", "c:1")}
